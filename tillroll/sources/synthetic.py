@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.schema import TABLES
 from tillroll.scope import Scope
@@ -21,31 +22,36 @@ BIAS_CUTOFF = date(1998, 3, 1)
 MIN_REVIEWED = 45
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
+def source(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A source table; its schema is read from the file once per process."""
+    path = f"{root}/{name}.parquet"
+    if (root, name) not in _SCHEMAS:
+        _SCHEMAS[root, name] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[root, name]).parquet(path)
+
+
 def bind(spark: SparkSession, root: str) -> RetailTables:
-    def source(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}.parquet")
-
-    orders, lines, parts = source("orders"), source("lineitem"), source("part")
-    customer, supplier, nation = source("customer"), source("supplier"), source("nation")
-
-    built = {
-        "customers": _customers(orders, customer, nation),
-        "sellers": _sellers(supplier, nation),
-        "category_translation": _translation(parts),
-        "products": _products(parts),
-        "geolocation": rollup_geolocation(raw_points(source("events"))),
-        "orders": _orders(orders, lines),
-        "order_items": _items(lines),
-        "order_payments": _payments(orders),
-        "order_reviews": _reviews(lines),
+    def src(name: str) -> DataFrame:
+        return source(spark, root, name)
+
+    build = {
+        "customers": lambda: _customers(src("orders"), src("customer"), src("nation")),
+        "sellers": lambda: _sellers(src("supplier"), src("nation")),
+        "category_translation": lambda: _translation(src("part")),
+        "products": lambda: _products(src("part")),
+        "geolocation": lambda: rollup_geolocation(raw_points(src("events"))),
+        "orders": lambda: _orders(src("orders"), src("lineitem")),
+        "order_items": lambda: _items(src("lineitem")),
+        "order_payments": lambda: _payments(src("orders")),
+        "order_reviews": lambda: _reviews(src("lineitem")),
     }
     return RetailTables(
-        **{
-            name: df.select(
-                *[F.col(f.name).cast(f.dataType) for f in TABLES[name].schema.fields]
-            )
-            for name, df in built.items()
-        }
+        lambda name: build[name]().select(
+            *[F.col(f.name).cast(f.dataType) for f in TABLES[name].schema.fields]
+        )
     )
 
 
@@ -169,7 +175,7 @@ def _reviews(lines: DataFrame) -> DataFrame:
 
 def raw_products(spark: SparkSession, root: str) -> DataFrame:
     """Products as a raw file has them: all text, misspelled columns, "40.0" for 40."""
-    products = _products(spark.read.parquet(f"{root}/part.parquet"))
+    products = _products(source(spark, root, "part"))
     labels = products.columns[:2]
     return products.select(
         *[F.col(c).cast("string") for c in labels],
@@ -184,7 +190,7 @@ def write_raw_csv(spark: SparkSession, root: str, target: str) -> None:
     """The nine tables as raw CSV files, points and products in their raw form."""
     raw = dict(bind(spark, root).items())
     raw["products"] = raw_products(spark, root)
-    raw["geolocation"] = raw_points(spark.read.parquet(f"{root}/events.parquet"))
+    raw["geolocation"] = raw_points(source(spark, root, "events"))
     for name, df in raw.items():
         text = df.select(*[F.col(c).cast("string") for c in df.columns])
         text.write.csv(f"{target}/{RAW_FILES[name]}", header=True, quote='"', escape='"')

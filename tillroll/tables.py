@@ -2,41 +2,33 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.schema import TABLES
 
 
-@dataclass(frozen=True)
 class RetailTables:
-    customers: DataFrame
-    sellers: DataFrame
-    category_translation: DataFrame
-    products: DataFrame
-    geolocation: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-
-    @staticmethod
-    def names() -> list[str]:
-        return [f.name for f in fields(RetailTables)]
+    """The tables as attributes (`tables.orders`); each is opened on first use."""
+
+    def __init__(self, open_table: Callable[[str], DataFrame]):
+        self._open_table = open_table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        df = self._open_table(name)
+        setattr(self, name, df)
+        return df
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(name, getattr(self, name)) for name in self.names()]
+        return [(name, getattr(self, name)) for name in TABLES]
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> RetailTables:
         """Open tables written by `sources.store.load_tables`."""
-        return cls(
-            **{
-                name: spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}")
-                for name in cls.names()
-            }
-        )
+        return cls(lambda name: spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}"))
 
     def register(self, prefix: str = "") -> None:
         """Make the tables queryable by name through `spark.sql`."""
