@@ -1,8 +1,9 @@
 """Ranks and running totals over a whole table, without one task sorting it all.
 
 A window with no partition sends every row to one task. Here rows are first
-counted per distinct key, so ties of any size become one row, and the ordered
-range of keys is then cut into fixed-width blocks:
+counted per distinct key, so ties of any size become one row. Up to
+MAX_WINDOW_ROWS of those, one task is the fastest way. Beyond that the ordered
+range of keys is cut into fixed-width blocks:
 
     key            a 64-bit integer
     key >> 21      its block:        at most 2^21 distinct keys in each
@@ -11,8 +12,8 @@ range of keys is then cut into fixed-width blocks:
 There are at most 2^22 super-blocks in all. Each level is ordered inside its
 parent only, so no window ever holds more than 2^22 rows whatever the input,
 and an offset from the level above makes its totals global. The blocks are a
-function of the key alone: nothing is sampled, a recomputed task agrees with
-the first run, and building the plan starts no job.
+function of the key alone: nothing is sampled, and a recomputed task agrees
+with the first run.
 """
 
 from __future__ import annotations
@@ -21,30 +22,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 21
+MAX_WINDOW_ROWS = 1 << 20
 
 
-def running_totals(distinct: DataFrame, key: str, weights: list[str]) -> DataFrame:
+def running_totals(distinct: DataFrame, key: str, weights: list[str], rows: int) -> DataFrame:
     """Totals from the largest key down, over rows with one row per key.
 
     Adds, for each weight w: `above_w`, the sum over all larger keys, and
-    `total_w`, the sum over everything.
+    `total_w`, the sum over everything. `rows` is the known or greatest possible
+    number of rows; it picks the way, not the result.
     """
+    if rows <= MAX_WINDOW_ROWS:
+        return _above(distinct, Window.orderBy(F.desc(key)), weights).withColumns(_totals(weights))
+
     blocks = _sums(distinct.withColumn("_block", F.shiftright(key, BLOCK_BITS)), "_block", weights)
     supers = _sums(blocks.withColumn("_super", F.shiftright("_block", BLOCK_BITS)), "_super", weights)
 
-    everything = Window.partitionBy()
-    supers = _above(supers, Window.orderBy(F.desc("_super")), weights).select(
+    supers = _as_offsets(
+        _above(supers, Window.orderBy(F.desc("_super")), weights).withColumns(_totals(weights)),
         "_super",
-        *[F.col(f"above_{w}").alias(f"_off_{w}") for w in weights],
-        *[F.sum(w).over(everything).alias(f"total_{w}") for w in weights],
+        weights,
     )
-    blocks = _offset(blocks, F.shiftright("_block", BLOCK_BITS), "_super", "_block", supers, weights)
-    blocks = blocks.select(
+    blocks = _as_offsets(
+        _shifted(blocks, F.shiftright("_block", BLOCK_BITS), "_super", "_block", supers, weights),
         "_block",
-        *[F.col(f"above_{w}").alias(f"_off_{w}") for w in weights],
-        *[f"total_{w}" for w in weights],
+        weights,
     )
-    return _offset(distinct, F.shiftright(key, BLOCK_BITS), "_block", key, blocks, weights).drop("_block")
+    return _shifted(
+        distinct, F.shiftright(key, BLOCK_BITS), "_block", key, blocks, weights
+    ).drop("_block")
 
 
 def _sums(df: DataFrame, key: str, weights: list[str]) -> DataFrame:
@@ -58,28 +64,52 @@ def _above(df: DataFrame, window, weights: list[str]) -> DataFrame:
     )
 
 
-def _offset(
+def _totals(weights: list[str]) -> dict[str, Column]:
+    everything = Window.partitionBy()
+    return {f"total_{w}": F.sum(w).over(everything) for w in weights}
+
+
+def _as_offsets(level: DataFrame, key: str, weights: list[str]) -> DataFrame:
+    return level.select(
+        key,
+        *[F.col(f"above_{w}").alias(f"_off_{w}") for w in weights],
+        *[f"total_{w}" for w in weights],
+    )
+
+
+def _shifted(
     df: DataFrame, parent_of: Column, parent: str, key: str, offsets: DataFrame, weights: list[str]
 ) -> DataFrame:
-    """Order `df` inside each parent, then shift by what lies above the parent."""
-    df = df.withColumn(parent, parent_of)
-    inside = _above(df, Window.partitionBy(parent).orderBy(F.desc(key)), weights)
+    """Order `df` inside each parent, then shift by what lies above the parent.
+
+    Every parent has an offset. The join is an outer one all the same: an inner
+    join would push not-null filters below the aggregates of this branch only,
+    and they could no longer share a shuffle with the other branches.
+    """
+    inside = _above(
+        df.withColumn(parent, parent_of), Window.partitionBy(parent).orderBy(F.desc(key)), weights
+    )
     return (
-        inside.join(offsets, parent)
+        inside.join(offsets, parent, "left")
         .withColumns({f"above_{w}": F.col(f"above_{w}") + F.col(f"_off_{w}") for w in weights})
         .drop(*[f"_off_{w}" for w in weights])
     )
 
 
-def global_rank(df: DataFrame, value: Column, rank: str, total: str | None = None) -> DataFrame:
-    """RANK() OVER (ORDER BY value DESC) for a 64-bit integer value; ties share a rank.
+def add_ranks(df: DataFrame, values: dict[str, Column], total: str) -> DataFrame:
+    """Add RANK() OVER (ORDER BY value DESC), ties included, for 64-bit integer values.
 
-    `total` names an optional column with the number of ranked rows.
+    `values` maps each new column to what it ranks; `total` names a column with
+    the number of rows. Rows without a value drop out. `df` is counted first and
+    read once per rank, so it should be a stored table.
     """
-    df = df.withColumn("_key", value)
-    distinct = df.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    columns = ["_key", (F.col("above_n") + 1).alias(rank)]
-    if total:
-        columns.append(F.col("total_n").alias(total))
-    ranks = running_totals(distinct, "_key", ["n"]).select(*columns)
-    return df.join(ranks, "_key").drop("_key")
+    rows = df.count()
+    ranked = df.withColumn(total, F.lit(rows).cast("bigint"))
+    for rank, value in values.items():
+        key = f"_key_{rank}"
+        distinct = df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias("n"))
+        places = running_totals(distinct, key, ["n"], rows).select(
+            key, (F.col("above_n") + 1).alias(rank)
+        )
+        ranked = ranked.withColumn(key, value).join(places, key).drop(key)
+    return ranked

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import measures as m
 from tillroll.operators.grains import SCORE, order_scores, seller_orders
-from tillroll.operators.ranking import global_rank, running_totals
+from tillroll.operators.ranking import add_ranks, running_totals
 from tillroll.scope import Scope
+from tillroll.session import stored
 from tillroll.tables import RetailTables
 
 
@@ -73,15 +74,18 @@ def pareto(tables: RetailTables, scope: Scope, share: Decimal = Decimal("0.80"))
     revenue: with A earned above it and room for `share * total - A` more, that
     many whole sellers fit.
     """
-    distinct = (
+    per_seller = (
         seller_orders(tables, scope)
         .groupBy("seller_id")
         .agg(F.sum("revenue").cast(m.EXACT).alias("revenue"))
-        .groupBy(_cents().alias("cents"))
+    )
+    per_seller = stored(per_seller, "seller-revenue")
+    distinct = (
+        per_seller.groupBy(_cents().alias("cents"))
         .agg(F.count(F.lit(1)).alias("sellers"))
         .withColumn("earned", F.col("cents") * F.col("sellers"))
     )
-    totals = running_totals(distinct, "cents", ["earned"])
+    totals = running_totals(distinct, "cents", ["earned"], rows=per_seller.count())
     room = (
         F.floor(F.col("total_earned").cast("decimal(20,0)") * F.lit(share)).cast("bigint")
         - F.col("above_earned")
@@ -119,8 +123,11 @@ def seller_stats(tables: RetailTables, scope: Scope) -> DataFrame:
 def ranked_sellers(tables: RetailTables, scope: Scope, min_reviewed: int = 30) -> DataFrame:
     """Sellers with enough reviewed orders, ranked among themselves on exact values."""
     qualified = seller_stats(tables, scope).filter(F.col("reviewed_orders") >= min_reviewed)
-    by_revenue = global_rank(qualified, _cents(), "revenue_rank", "qualified_sellers")
-    return global_rank(by_revenue, _rating_units(), "rating_rank")
+    return add_ranks(
+        stored(qualified, "qualified-sellers"),
+        {"revenue_rank": _cents(), "rating_rank": _rating_units()},
+        total="qualified_sellers",
+    )
 
 
 def sellers_by_rating(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings changed on the running session. AQE re-plans joins from real sizes:
 # a side is broadcast only when its measured size is under the threshold, and a
@@ -56,3 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tillroll-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder now and read it back.
+
+    For an aggregate that several branches of a plan start from: the big tables
+    behind it are scanned once, a lost executor costs no recomputation of them,
+    and later joins are planned from the real size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
