@@ -37,6 +37,8 @@ def local_session(cores: str = "8", app: str = "tillroll", **conf: str) -> Spark
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
+        # No Python call sites in error messages: they double the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

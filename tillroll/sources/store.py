@@ -16,10 +16,23 @@ def load_tables(
     spark: SparkSession, raw_root: str, target_root: str, files: dict[str, str] = RAW_FILES
 ) -> RetailTables:
     """Rebuild every table from its raw file, parents before children."""
-    for table in TABLES:
-        df = read_table(spark, table, f"{raw_root}/{files[table]}")
-        df.write.mode("overwrite").parquet(f"{target_root}/{table}")
-    return RetailTables.read(spark, target_root)
+    raw = RetailTables(lambda table: read_table(spark, table, f"{raw_root}/{files[table]}"))
+    return store_tables(spark, raw, target_root)
+
+
+def store_tables(
+    spark: SparkSession, tables: RetailTables, root: str, files: int | None = None
+) -> RetailTables:
+    """Write every table; `files` spreads each over that many files.
+
+    Left out, a table keeps the partitions it was read in, without a shuffle.
+    A source of few large files (one unsplittable CSV, say) needs it, or later
+    scans have as few tasks.
+    """
+    for table, df in tables.items():
+        spread = df.repartition(files) if files else df
+        spread.write.mode("overwrite").parquet(f"{root}/{table}")
+    return RetailTables.read(spark, root)
 
 
 def row_counts(tables: dict[str, DataFrame], name: str) -> DataFrame:
