@@ -13,7 +13,12 @@ from tillroll.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(
-        "4", "tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+        "4",
+        "tests",
+        **{
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.maxMetadataStringLength": "2000",
+        },
     )
     yield session
     session.stop()
