@@ -381,6 +381,10 @@ def _bodies() -> dict[str, tuple[str, str]]:
             "w AS (SELECT *, first_value(active) OVER (PARTITION BY cohort ORDER BY k) AS size FROM r_activity)",
             "SELECT CAST(cohort AS VARCHAR) AS cohort_month, CAST(k AS INTEGER) AS month_number, active AS active_customers, "
             f"size AS cohort_size, {pct('active', 'size', 2)} AS retention_pct FROM w"),
+        "q13_cohort_long_observable": (
+            "w AS (SELECT *, first_value(active) OVER (PARTITION BY cohort ORDER BY k) AS size FROM r_activity)",
+            "SELECT CAST(cohort AS VARCHAR) AS cohort_month, CAST(k AS INTEGER) AS month_number, active AS active_customers, "
+            f"size AS cohort_size, {pct('active', 'size', 2)} AS retention_pct FROM w WHERE cohort + to_months(CAST(k AS INTEGER)) < DATE '1998-09-01'"),
         "q13b_cohort_matrix": (none, _cohort_matrix()),
         "q14_second_order_gap": (
             "s AS (SELECT day, lead(day) OVER (PARTITION BY person ORDER BY ts, order_id) AS next_day, "

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.plans import delivery, region, retention, sellers, semantic, trend
+from tillroll.schema import TABLES
 from tillroll.sources import store, synthetic
 
 SCOPE = synthetic.SCOPE
@@ -106,6 +107,26 @@ def test_seller_orders_share_the_join_shuffle(tables, no_broadcast):
     assert "SinglePartition" not in plan
 
 
+def test_buckets_spare_the_order_shuffles(spark, tables, no_broadcast, tmp_path):
+    bucketed = store.store_bucketed(spark, tables, str(tmp_path), "default", 4)
+    try:
+        for plan in (trend.monthly_revenue, sellers.top_sellers, sellers.seller_stats):
+            assert "Exchange hashpartitioning(order_id" not in plan_of(plan(bucketed, SCOPE))
+        assert (
+            trend.monthly_revenue(bucketed, SCOPE).collect()
+            == trend.monthly_revenue(tables, SCOPE).collect()
+        )
+    finally:
+        for name in TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS default.{name}")
+
+
+def test_scratch_tables_go_to_the_shared_folder(spark, tables):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    files = sellers.ranked_sellers(tables, SCOPE, min_reviewed=1).inputFiles()
+    assert files and all(shared in f for f in files)
+
+
 def test_hot_order_is_split_at_run_time(spark, tables, no_broadcast, tmp_path):
     """A third of all lines in one order: its join partition is split over tasks,
     although the aggregate after the join builds on the join's partitioning."""

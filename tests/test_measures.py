@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.shop import rows
 from tillroll.functions import measures as m
-from tillroll.functions.stats import erfc, two_proportion_z, two_sided_p
+from tillroll.functions.stats import erfc, two_proportion_z
 
 
 def test_delay_bucket_edges(spark):
@@ -56,10 +56,9 @@ def test_erfc_matches_the_library_function(spark):
 def test_z_test(spark):
     df = spark.createDataFrame([(30, 1000, 10, 500), (1, 10, 0, 0)], "a int, na int, b int, nb int")
     z = two_proportion_z(F.col("a"), F.col("na"), F.col("b"), F.col("nb"))
-    (z0, p0), (z1, p1) = rows(df.select(z, two_sided_p(z)))
+    (z0,), (z1,) = rows(df.select(z))
     pooled = 40 / 1500
     assert z0 == pytest.approx(
         (0.03 - 0.02) / math.sqrt(pooled * (1 - pooled) * (1 / 1000 + 1 / 500))
     )
-    assert p0 == pytest.approx(math.erfc(abs(z0) / math.sqrt(2)))
-    assert (z1, p1) == (None, None)
+    assert z1 is None

@@ -50,6 +50,11 @@ def test_long_form_lists_active_months_only(spark):
     ]
 
 
+def test_long_form_can_stop_at_the_end_of_the_scope(spark):
+    got = retention.cohort_long(_cohorts().tables(spark), Scope(), observable_only=True)
+    assert [r[:2] for r in rows(got)][-1] == (date(2018, 8, 1), 0)
+
+
 def test_matrix_shows_zero_or_null(spark):
     got = rows(retention.cohort_matrix(_cohorts().tables(spark), Scope(), horizon=3))
     zero = Decimal("0.00")

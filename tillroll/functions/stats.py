@@ -81,14 +81,13 @@ def erfc(x: Column) -> Column:
 
 
 def two_proportion_z(hits_a: Column, n_a: Column, hits_b: Column, n_b: Column) -> Column:
-    """z of rate_a - rate_b with the pooled standard error; NULL for an empty group."""
+    """z of rate_a - rate_b with the pooled standard error; NULL for an empty group.
+
+    Its two-sided p-value is erfc(|z| / sqrt(2)).
+    """
     a, b = n_a.cast("double"), n_b.cast("double")
     pooled = F.try_divide(hits_a + hits_b, n_a + n_b)
     spread = F.sqrt(
         pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b))
     )
     return F.try_divide(F.try_divide(hits_a, a) - F.try_divide(hits_b, b), spread)
-
-
-def two_sided_p(z: Column) -> Column:
-    return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import measures as m
-from tillroll.functions.stats import two_proportion_z, two_sided_p
+from tillroll.functions.stats import erfc, two_proportion_z
 from tillroll.operators.firsts import first_rows
 from tillroll.operators.grains import delivered_on_record, with_person
 from tillroll.scope import Scope
@@ -73,12 +73,22 @@ def cohort_activity(tables: RetailTables, scope: Scope) -> DataFrame:
     )
 
 
-def cohort_long(tables: RetailTables, scope: Scope) -> DataFrame:
-    """Retention for every month in which a cohort was active at all."""
+def cohort_long(
+    tables: RetailTables, scope: Scope, observable_only: bool = False
+) -> DataFrame:
+    """Retention for every month in which a cohort was active at all.
+
+    Activity after the scope's end counts too, unless `observable_only` is set;
+    it makes no difference where the data end with the scope.
+    """
     by_month = Window.partitionBy("cohort_month").orderBy("month_number")
+    activity = cohort_activity(tables, scope)
+    if observable_only:
+        activity = activity.filter(
+            scope.observable(F.col("cohort_month"), F.col("month_number"))
+        )
     return (
-        cohort_activity(tables, scope)
-        .withColumn("cohort_size", F.first("active_customers").over(by_month))
+        activity.withColumn("cohort_size", F.first("active_customers").over(by_month))
         .withColumn("retention_pct", m.pct(F.col("active_customers"), F.col("cohort_size"), 2))
         .orderBy("cohort_month", "month_number")
     )
@@ -197,13 +207,16 @@ def late_first_order_test(
             over(late, "repeated").alias("_late"),
         )
     )
+    # z and its argument are columns of their own: the error function names its
+    # argument dozens of times, and would otherwise repeat the whole test in each.
     z = two_proportion_z(F.col("_on_time"), F.col("n_on_time"), F.col("_late"), F.col("n_late"))
-    return rates.select(
+    tested = rates.withColumn("_z", z).withColumn("_x", F.abs("_z") / F.sqrt(F.lit(2.0)))
+    return tested.select(
         "sample",
         "n_on_time",
         m.pct(F.col("_on_time"), F.col("n_on_time"), 2).alias("on_time_repeat_pct"),
         "n_late",
         m.pct(F.col("_late"), F.col("n_late"), 2).alias("late_repeat_pct"),
-        F.round(z, 2).alias("z_score"),
-        F.round(two_sided_p(z), 3).alias("p_value"),
+        F.round("_z", 2).alias("z_score"),
+        F.round(erfc(F.col("_x")), 3).alias("p_value"),
     ).orderBy("sample")

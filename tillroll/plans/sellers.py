@@ -57,7 +57,7 @@ def top_sellers(tables: RetailTables, scope: Scope, top_n: int = 20) -> DataFram
     ).filter(F.col("_is_total") == 0)
     return (
         tables.sellers.select("seller_id", "seller_state")
-        .join(F.broadcast(listed), "seller_id")  # top_n rows at most
+        .join(listed, "seller_id")
         .select(
             "revenue_rank", "seller_id", "seller_state", "orders",
             "revenue", "pct_of_revenue", "cumulative_pct",
