@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings changed on the running session. AQE re-plans joins from real sizes:
+# Settings changed on the running session. With ANSI a bad cast or an overflow is
+# an error, never a NULL or a wrong number. AQE re-plans joins from real sizes:
 # a side is broadcast only when its measured size is under the threshold, and a
 # hot join key is split over many tasks. Several plans aggregate on the join key
 # right after the join; "force" lets AQE split a hot key there too, paying one
 # extra shuffle only when a skewed partition is really found.
 RUNTIME_SETTINGS = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -7,23 +7,15 @@ load rather than turning into NULL.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.schema import POINT, TABLES
 
-# File name of each raw table.
-RAW_FILES = {
-    "customers": "olist_customers_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "category_translation": "product_category_name_translation.csv",
-    "products": "olist_products_dataset.csv",
-    "geolocation": "olist_geolocation_dataset.csv",
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "order_payments": "olist_order_payments_dataset.csv",
-    "order_reviews": "olist_order_reviews_dataset.csv",
-}
+# File of each raw table, unless the caller names others.
+RAW_FILES = {table: f"{table}.csv" for table in TABLES}
 
 # Texts that mean "no value" in the raw files.
 NULL_TOKENS = [
@@ -37,8 +29,9 @@ PRODUCT_RENAMES = {
     "product_description_lenght": "product_description_length",
 }
 
-# Free-text comments hold line breaks. Such a file cannot be split, so only the
-# tables listed here are read this way; others that break a row fail the read.
+# Free-text comments hold line breaks. Such a file cannot be split, so only these
+# tables are read this way unless the caller says otherwise; a row broken over
+# lines in another table fails the read.
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
 
@@ -107,5 +100,7 @@ def convert(text: DataFrame, table: str) -> DataFrame:
     return apply_types(text, table)
 
 
-def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
-    return convert(read_text_csv(spark, path, multiline=table in MULTILINE_TABLES), table)
+def read_table(
+    spark: SparkSession, table: str, path: str, multiline: Collection[str] = MULTILINE_TABLES
+) -> DataFrame:
+    return convert(read_text_csv(spark, path, multiline=table in multiline), table)

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.schema import TABLES
-from tillroll.sources.raw_csv import RAW_FILES, read_table
+from tillroll.sources.raw_csv import MULTILINE_TABLES, RAW_FILES, read_table
 from tillroll.tables import RetailTables
 
 
+def raw_tables(
+    spark: SparkSession,
+    root: str,
+    files: Mapping[str, str] = RAW_FILES,
+    multiline: Collection[str] = MULTILINE_TABLES,
+) -> RetailTables:
+    """The raw files as typed tables. A path may be a file, a folder or a pattern."""
+    return RetailTables(
+        lambda table: read_table(spark, table, f"{root}/{files[table]}", multiline)
+    )
+
+
 def load_tables(
-    spark: SparkSession, raw_root: str, target_root: str, files: dict[str, str] = RAW_FILES
+    spark: SparkSession, raw_root: str, target_root: str, files: Mapping[str, str] = RAW_FILES
 ) -> RetailTables:
     """Rebuild every table from its raw file, parents before children."""
-    raw = RetailTables(lambda table: read_table(spark, table, f"{raw_root}/{files[table]}"))
-    return store_tables(spark, raw, target_root)
+    return store_tables(spark, raw_tables(spark, raw_root, files), target_root)
 
 
 def store_tables(
@@ -88,8 +99,9 @@ def reconcile(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> D
 
 
 def reconcile_load(
-    spark: SparkSession, raw_root: str, target_root: str, files: dict[str, str] = RAW_FILES
+    spark: SparkSession, raw_root: str, target_root: str, files: Mapping[str, str] = RAW_FILES
 ) -> DataFrame:
     """What the raw files hold now against what was stored, counted anew on both sides."""
-    raw = {t: read_table(spark, t, f"{raw_root}/{files[t]}") for t in TABLES}
-    return reconcile(raw, dict(RetailTables.read(spark, target_root).items()))
+    raw = raw_tables(spark, raw_root, files)
+    stored = RetailTables.read(spark, target_root)
+    return reconcile(dict(raw.items()), dict(stored.items()))
