@@ -26,7 +26,7 @@ r_shipped AS (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROU
 r_orders AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS person,
          o_orderdate AS ts, CAST(o_orderdate AS DATE) AS day, o_orderkey, o_orderpriority,
-         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'processing' END AS status,
+         o_orderstatus AS status,
          n_name AS state, c_mktsegment AS city,
          lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') AS zip,
          CASE WHEN o_orderkey % 97 <> 0 AND last_ship IS NOT NULL THEN
@@ -38,7 +38,7 @@ r_orders AS (
   JOIN nation ON n_nationkey = c_nationkey),
 r_scoped AS (
   SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM r_orders
-  WHERE status = 'delivered' AND ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-09-01'),
+  WHERE status = 'F' AND ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-09-01'),
 r_products AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id,
          CASE WHEN p_partkey % 53 <> 0 THEN p_type END AS raw_category,
@@ -74,7 +74,7 @@ r_ranked AS (
   FROM r_qualified),
 r_person_months AS (
   SELECT DISTINCT person, CAST(date_trunc('month', day) AS DATE) AS month
-  FROM r_orders WHERE status = 'delivered'),
+  FROM r_orders WHERE status = 'F'),
 r_cohorts AS (
   SELECT person, month, min(month) OVER (PARTITION BY person) AS cohort FROM r_person_months),
 r_activity AS (

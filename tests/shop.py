@@ -5,6 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
 from tillroll.schema import TABLES
 from tillroll.tables import RetailTables
 
@@ -53,15 +57,13 @@ class Shop:
         return self
 
     def tables(self, spark) -> RetailTables:
-        def nullable(schema):
-            relaxed = type(schema).fromJson(schema.jsonValue())
-            for f in relaxed.fields:
-                f.nullable = True
-            return relaxed
-
-        return RetailTables(
-            lambda name: spark.createDataFrame(self.rows[name], nullable(TABLES[name].schema))
-        )
+        def table(name):
+            schema = StructType([StructField(f.name, f.dataType) for f in TABLES[name].schema])
+            records = [dict(zip(schema.names, row)) for row in self.rows[name]]
+            arrow = pa.Table.from_pylist(records, schema=to_arrow_schema(schema))
+            return spark.createDataFrame(arrow, schema)
+
+        return RetailTables(table)
 
 
 def rows(df):

@@ -22,9 +22,24 @@ RUNTIME_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+# Shuffles start with this many partitions and AQE merges small ones; it cannot
+# cut a partition that is large without being skewed, so the start must be high.
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+TASKS_PER_CORE = 3
+
+
+def tune(spark: SparkSession, initial_partitions: int | None = None) -> SparkSession:
+    """Apply the settings. Name the partitions for shuffles of many terabytes, at
+    about 200 MB each; left out, every core of the cluster gets a few."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if initial_partitions is None and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        initial_partitions = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
+        )
+    if initial_partitions is not None:
+        spark.conf.set(INITIAL_PARTITIONS, str(initial_partitions))
     return spark
 
 
