@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 
 from tests.shop import rows
+from tillroll import load
 from tillroll.schema import TABLES
 from tillroll.sources import raw_csv, store
 
@@ -134,3 +135,19 @@ def test_columns_are_matched_by_name(spark):
     text = spark.createDataFrame([("SP", "s", "city", "01001")],
                                  "seller_state string, seller_id string, seller_city string, seller_zip_code_prefix string")
     assert rows(raw_csv.convert(text, "sellers")) == [("s", "01001", "city", "SP")]
+
+
+def test_load_job(spark, raw, tmp_path, capsys):
+    (raw / "customers.csv").rename(raw / "people.csv")
+    assert load.main([str(raw), str(tmp_path / "t"), "--file", "customers=people.csv"]) == 0
+    assert "customers                            2               2  OK" in capsys.readouterr().out
+
+
+def test_a_raw_table_may_be_many_files(spark, raw):
+    header, first, second = RAW["customers"].splitlines()
+    folder = raw / "customers"
+    folder.mkdir()
+    (folder / "1.csv").write_text(f"{header}\n{first}\n")
+    (folder / "2.csv").write_text(f"{header}\n{second}\n")
+    tables = store.raw_tables(spark, str(raw), {**raw_csv.RAW_FILES, "customers": "customers/*.csv"})
+    assert tables.customers.count() == 2
