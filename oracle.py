@@ -51,7 +51,7 @@ r_sellers AS (
   FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 r_translation AS (SELECT DISTINCT p_type FROM part WHERE p_type NOT IN ('PROMO', 'STANDARD')),
 r_points AS (
-  SELECT lpad(CAST(user_id % 100000 AS VARCHAR), 5, '0') AS zip, value AS lat, -value AS lng,
+  SELECT lpad(CAST(user_id % 100000 AS VARCHAR), 5, '0') AS zip, value AS lat,
          event_type AS city, upper(substr(event_type, 1, 2)) AS state
   FROM events),
 r_scores AS (
@@ -241,7 +241,7 @@ def _audit_required() -> str:
         ("products", "product_id", _n("r_products", "product_id IS NULL")),
         ("geolocation", "zip_code_prefix", _n("r_points", "FALSE")),
         ("geolocation", "lat", "SELECT count(*) FROM (SELECT zip FROM r_points WHERE zip IS NOT NULL GROUP BY zip HAVING count(lat) = 0)"),
-        ("geolocation", "lng", "SELECT count(*) FROM (SELECT zip FROM r_points WHERE zip IS NOT NULL GROUP BY zip HAVING count(lng) = 0)"),
+        ("geolocation", "lng", "SELECT count(*) FROM (SELECT zip FROM r_points WHERE zip IS NOT NULL GROUP BY zip HAVING count(lat) = 0)"),
         ("orders", "order_id", _n("orders", "o_orderkey IS NULL")),
         ("orders", "customer_id", _n("orders", "o_orderkey IS NULL")),
         ("orders", "order_status", _n("r_orders", "status IS NULL")),
@@ -315,6 +315,9 @@ _MODE = """(
     SELECT zip, {c}, row_number() OVER (PARTITION BY zip ORDER BY count(*) DESC, {c}) AS i
     FROM r_points GROUP BY zip, {c}) WHERE i = 1)"""
 
+# values have two decimals, and longitude is the negated latitude
+_MEAN_LAT = mean("sum(CAST(round(lat * 100) AS BIGINT))", "count(lat)", 6, 100)
+
 _RUNNING = "sum(rev) OVER (ORDER BY rev DESC, seller_id ROWS UNBOUNDED PRECEDING)"
 
 
@@ -459,7 +462,7 @@ def _bodies() -> dict[str, tuple[str, str]]:
             "length(p_name) AS product_name_length, p_size * 10 AS product_description_length, CAST(p_partkey % 7 AS INTEGER) AS product_photos_qty, "
             "CAST(floor(p_retailprice) AS INTEGER) AS product_weight_g, p_size AS product_length_cm, p_size AS product_height_cm, p_size AS product_width_cm FROM part"),
         "l4_geolocation_rollup": (none,
-            "SELECT p.zip AS zip_code_prefix, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, any_value(c.top) AS city, any_value(s.top) AS state "
+            f"SELECT p.zip AS zip_code_prefix, {_MEAN_LAT} AS lat, -{_MEAN_LAT} AS lng, any_value(c.top) AS city, any_value(s.top) AS state "
             f"FROM r_points p JOIN {_MODE.format(c='city')} c ON c.zip = p.zip JOIN {_MODE.format(c='state')} s ON s.zip = p.zip GROUP BY p.zip"),
         "l6_load_reconcile": (none, " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS expected, count(*) AS actual, 'OK' AS status FROM {r}" for t, r in _TABLE_SIZES)),

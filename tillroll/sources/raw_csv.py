@@ -71,14 +71,20 @@ def rollup_geolocation(points: DataFrame) -> DataFrame:
     """One mean point per zip prefix with its most frequent city and state.
 
     Equally frequent names resolve to the smallest. Partial sums and name counts
-    are merged, so a prefix with very many points moves as one row per task.
+    are merged, so a prefix with very many points moves as one row per task. The
+    means are taken in decimals: their last digit must not depend on the order in
+    which tasks finish.
     """
+    def mean(axis: str) -> Column:
+        point = F.col(f"geolocation_{axis}").cast("decimal(18,14)")
+        return F.round(F.avg(point), 6).cast(POINT).alias(axis)
+
     return (
         points.filter(F.col("geolocation_zip_code_prefix").isNotNull())
         .groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix"))
         .agg(
-            F.round(F.avg(F.col("geolocation_lat").cast("double")), 6).cast(POINT).alias("lat"),
-            F.round(F.avg(F.col("geolocation_lng").cast("double")), 6).cast(POINT).alias("lng"),
+            mean("lat"),
+            mean("lng"),
             F.mode("geolocation_city", True).alias("city"),
             F.mode("geolocation_state", True).alias("state"),
         )
