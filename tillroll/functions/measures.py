@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def revenue() -> Column:
     return F.col("price") + F.col("freight_value")
 
 
+def cents(amount: Column) -> Column:
+    """Money to be summed: long additions are exact too, and far cheaper than sums of
+    decimals, whose buffers leave the range of a long. An overflow is an error."""
+    return (amount * F.lit(100)).cast("bigint")
+
+
+def money(cents: Column) -> Column:
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(EXACT)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """Exact quotient; NULL where there is nothing to divide by."""
     return F.try_divide(part.cast(EXACT), whole.cast(EXACT))

@@ -18,11 +18,15 @@ SCORE = "decimal(20,14)"
 
 
 def order_totals(order_items: DataFrame) -> DataFrame:
-    return order_items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.sum("price").cast(m.EXACT).alias("product_value"),
-        F.sum("freight_value").cast(m.EXACT).alias("freight_value"),
-        F.sum(m.revenue()).cast(m.EXACT).alias("revenue"),
+    """Lines and money, in cents, per order."""
+    return (
+        order_items.groupBy("order_id")
+        .agg(
+            F.count(F.lit(1)).alias("items"),
+            F.sum(m.cents(F.col("price"))).alias("product_cents"),
+            F.sum(m.cents(F.col("freight_value"))).alias("freight_cents"),
+        )
+        .withColumn("revenue_cents", F.col("product_cents") + F.col("freight_cents"))
     )
 
 
@@ -63,7 +67,7 @@ def seller_orders(tables: RetailTables, scope: Scope) -> DataFrame:
     return (
         tables.order_items.join(in_scope, "order_id", "left_semi")
         .groupBy("order_id", "seller_id")
-        .agg(F.sum(m.revenue()).cast(m.EXACT).alias("revenue"))
+        .agg(F.sum(m.cents(m.revenue())).alias("revenue_cents"))
     )
 
 

@@ -12,6 +12,10 @@ from tillroll.scope import Scope
 from tillroll.tables import RetailTables
 
 
+def _line_revenue(tables: RetailTables) -> DataFrame:
+    return tables.order_items.select("order_id", "product_id", m.cents(m.revenue()).alias("cents"))
+
+
 def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
     """Orders and revenue for every state and category.
 
@@ -19,13 +23,13 @@ def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
     to one row per (order, category).
     """
     return (
-        tables.order_items.select("order_id", "product_id", m.revenue().alias("revenue"))
+        _line_revenue(tables)
         .join(order_states(tables, scope), "order_id")
         .join(product_categories(tables), "product_id")
         .groupBy("customer_state", "category", "order_id")
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(F.sum("cents").alias("cents"))
         .groupBy("customer_state", "category")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").cast(m.EXACT).alias("revenue"))
+        .agg(F.count(F.lit(1)).alias("orders"), m.money(F.sum("cents")).alias("revenue"))
         .orderBy("customer_state", F.desc("revenue"), "category")
     )
 
@@ -37,8 +41,8 @@ def state_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
         .groupBy("customer_state")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue").cast(m.EXACT).alias("revenue"),
-            F.sum("freight_value").alias("_freight"),
+            m.money(F.sum("revenue_cents")).alias("revenue"),
+            m.money(F.sum("freight_cents")).alias("_freight"),
             F.sum("items").alias("_lines"),
         )
         .select(
@@ -59,13 +63,13 @@ def top_categories_by_state(tables: RetailTables, scope: Scope, k: int = 3) -> D
     best-seller enters that join as one row per state.
     """
     grid = (
-        tables.order_items.select("order_id", "product_id", m.revenue().alias("revenue"))
+        _line_revenue(tables)
         .join(order_states(tables, scope), "order_id")
         .groupBy("customer_state", "product_id")
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(F.sum("cents").alias("cents"))
         .join(product_categories(tables), "product_id")
         .groupBy("customer_state", "category")
-        .agg(F.sum("revenue").cast(m.EXACT).alias("revenue"))
+        .agg(m.money(F.sum("cents")).alias("revenue"))
     )
     state = Window.partitionBy("customer_state")
     return (

@@ -15,12 +15,8 @@ from tillroll.session import stored
 from tillroll.tables import RetailTables
 
 
-# Integer forms of exact decimals, so that whole-table ranks order 64-bit keys.
-def _cents() -> Column:
-    return (F.col("revenue") * 100).cast("bigint")
-
-
 def _rating_units() -> Column:
+    """The exact rating as an integer, for whole-table ranks order 64-bit keys."""
     return (F.col("avg_rating") * F.lit(10**14)).cast("bigint")
 
 
@@ -37,22 +33,23 @@ def top_sellers(tables: RetailTables, scope: Scope, top_n: int = 20) -> DataFram
         .agg(
             F.grouping("seller_id").alias("_is_total"),
             F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue").cast(m.EXACT).alias("revenue"),
+            F.sum("revenue_cents").alias("revenue_cents"),
         )
-        .orderBy(F.desc("_is_total"), F.desc("revenue"), "seller_id")
+        .orderBy(F.desc("_is_total"), F.desc("revenue_cents"), "seller_id")
         .limit(top_n + 1)
     )
-    best_first = Window.orderBy("_is_total", F.desc("revenue"), "seller_id")
-    by_value = Window.orderBy("_is_total", F.desc("revenue"))
-    grand_total = F.max(F.when(F.col("_is_total") == 1, F.col("revenue"))).over(Window.partitionBy())
-    running = F.sum("revenue").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
+    revenue = F.col("revenue_cents")
+    best_first = Window.orderBy("_is_total", F.desc("revenue_cents"), "seller_id")
+    by_value = Window.orderBy("_is_total", F.desc("revenue_cents"))
+    grand_total = F.max(F.when(F.col("_is_total") == 1, revenue)).over(Window.partitionBy())
+    running = F.sum(revenue).over(best_first.rowsBetween(Window.unboundedPreceding, 0))
     listed = ranked.select(
         "_is_total",
         F.rank().over(by_value).cast("bigint").alias("revenue_rank"),
         "seller_id",
         "orders",
-        F.round("revenue", 2).alias("revenue"),
-        m.pct(F.col("revenue"), grand_total, 2).alias("pct_of_revenue"),
+        m.money(revenue).alias("revenue"),
+        m.pct(revenue, grand_total, 2).alias("pct_of_revenue"),
         m.pct(running, grand_total, 2).alias("cumulative_pct"),
     ).filter(F.col("_is_total") == 0)
     return (
@@ -77,11 +74,11 @@ def pareto(tables: RetailTables, scope: Scope, share: Decimal = Decimal("0.80"))
     per_seller = (
         seller_orders(tables, scope)
         .groupBy("seller_id")
-        .agg(F.sum("revenue").cast(m.EXACT).alias("revenue"))
+        .agg(F.sum("revenue_cents").alias("cents"))
     )
     per_seller = stored(per_seller, "seller-revenue")
     distinct = (
-        per_seller.groupBy(_cents().alias("cents"))
+        per_seller.groupBy("cents")
         .agg(F.count(F.lit(1)).alias("sellers"))
         .withColumn("earned", F.col("cents") * F.col("sellers"))
     )
@@ -113,7 +110,7 @@ def seller_stats(tables: RetailTables, scope: Scope) -> DataFrame:
         .groupBy("seller_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue").cast(m.EXACT).alias("revenue"),
+            F.sum("revenue_cents").alias("revenue_cents"),
             F.count("review_score").alias("reviewed_orders"),
             F.avg("review_score").cast(SCORE).alias("avg_rating"),
         )
@@ -125,7 +122,7 @@ def ranked_sellers(tables: RetailTables, scope: Scope, min_reviewed: int = 30) -
     qualified = seller_stats(tables, scope).filter(F.col("reviewed_orders") >= min_reviewed)
     return add_ranks(
         stored(qualified, "qualified-sellers"),
-        {"revenue_rank": _cents(), "rating_rank": _rating_units()},
+        {"revenue_rank": F.col("revenue_cents"), "rating_rank": _rating_units()},
         total="qualified_sellers",
     )
 
@@ -143,7 +140,7 @@ def sellers_by_rating(
         .filter(F.col(rank_by) <= top_n)
         .select(
             "seller_id",
-            F.round("revenue", 2).alias("revenue"),
+            m.money(F.col("revenue_cents")).alias("revenue"),
             "reviewed_orders",
             F.round("avg_rating", 2).alias("avg_rating"),
             "revenue_rank",

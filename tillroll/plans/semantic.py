@@ -39,9 +39,9 @@ def orders_view(tables: RetailTables, scope: Scope) -> DataFrame:
             "purchase_date",
             "order_month",
             "items",
-            F.round("product_value", 2).alias("product_value"),
-            F.round("freight_value", 2).alias("freight_value"),
-            F.round("revenue", 2).alias("revenue"),
+            m.money(F.col("product_cents")).alias("product_value"),
+            m.money(F.col("freight_cents")).alias("freight_value"),
+            m.money(F.col("revenue_cents")).alias("revenue"),
             "delay_days",
             m.delay_bucket(F.col("delay_days")).alias("delay_bucket"),
             F.round("review_score", 2).alias("review_score"),
@@ -80,7 +80,7 @@ def seller_summary_view(
             F.substring("seller_id", 1, 8).alias("seller_short_id"),
             "seller_state",
             "orders",
-            F.round("revenue", 2).alias("revenue"),
+            m.money(F.col("revenue_cents")).alias("revenue"),
             "reviewed_orders",
             F.round("avg_rating", 2).alias("avg_rating"),
             "revenue_rank",

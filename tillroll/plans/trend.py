@@ -18,7 +18,10 @@ def monthly_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
     return (
         orders.join(order_totals(tables.order_items), "order_id")
         .groupBy("month")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").cast(m.EXACT).alias("revenue"))
+        .agg(
+            F.count(F.lit(1)).alias("orders"),
+            m.money(F.sum("revenue_cents")).alias("revenue"),
+        )
         .orderBy("month")
     )
 
