@@ -36,9 +36,9 @@ def store_tables(
 ) -> RetailTables:
     """Write every table; `files` spreads each over that many files.
 
-    Left out, a table keeps the partitions it was read in, without a shuffle.
-    A source of few large files (one unsplittable CSV, say) needs it, or later
-    scans have as few tasks.
+    Left out, a table keeps the partitions it was read in, without a shuffle; large
+    Parquet files split at their row groups anyway. It helps where a small table
+    would end up as one row group, which only one task can read.
     """
     for table, df in tables.items():
         spread = df.repartition(files) if files else df
