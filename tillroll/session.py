@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,15 +64,10 @@ def local_session(cores: str = "8", app: str = "tillroll", **conf: str) -> Spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder path under the cluster's shared checkpoint folder.
-
-    Only a session that names no folder (a local test) gets a machine-local one.
-    """
+    """A fresh folder path under the cluster's shared checkpoint folder, or, where a
+    session names none, under its warehouse, which executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tillroll-")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
