@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import line_dedup, quality, token_files
+from . import decontaminate, line_dedup, quality, substring_dedup, token_files
 from .session import prepare
 
 
@@ -29,6 +29,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), "found")
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        "found.contaminated",
+        F.col("found.longest").alias("longest_run"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeats(docs).drop("kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     judged = docs.select("doc_id", quality.figures(F.col("text")).alias("q"))
@@ -54,6 +73,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op6_quality_rules, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_decontamination,
+        op5_substring_dedup,
+        op6_quality_rules,
+        op10_line_dedup,
+    )
+}
 
 SQL: dict[str, str] = {}
