@@ -24,6 +24,7 @@ RUNTIME_SETTINGS = {
 # Shuffles start with this many partitions and AQE merges small ones; it cannot
 # cut a partition that is large without being skewed, so the start must be high.
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+CHOSEN_PARTITIONS = "spark.tillroll.chosenPartitions"  # what `tune` itself last set
 TASKS_PER_CORE = 3
 
 
@@ -32,11 +33,13 @@ def tune(spark: SparkSession, initial_partitions: int | None = None) -> SparkSes
     about 200 MB each; left out, every core of the cluster gets a few."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    if initial_partitions is None and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+    given = spark.conf.get(INITIAL_PARTITIONS, None)
+    if initial_partitions is None and given in (None, spark.conf.get(CHOSEN_PARTITIONS, None)):
         initial_partitions = max(
             int(spark.conf.get("spark.sql.shuffle.partitions")),
             TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
         )
+        spark.conf.set(CHOSEN_PARTITIONS, str(initial_partitions))
     if initial_partitions is not None:
         spark.conf.set(INITIAL_PARTITIONS, str(initial_partitions))
     return spark
