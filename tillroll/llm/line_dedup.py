@@ -184,7 +184,6 @@ def repeated_lines(
         found.join(keeper, ["k1", "k2"])
         .where(F.col("doc_id") < F.col("keeper"))
         .select("doc_id", "k1", "k2")
-        .distinct()
     )
 
 
@@ -233,7 +232,7 @@ def dedup_lines(
     drops = (
         repeated_lines(docs, min_chars, min_docs, bits)
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
+        .agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
         .select(F.col("doc_id").alias("at"), "gone")
     )
     at, gone, lines = (fresh_name(docs, x) for x in ("at", "gone", "lines"))

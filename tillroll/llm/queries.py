@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, quality, substring_dedup, token_files
+from . import decontaminate, line_dedup, mix, oracles, quality, substring_dedup, token_files
 from .session import prepare
 
 
@@ -43,6 +43,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix.planned(docs).select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken"
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return substring_dedup.remove_repeats(docs).drop("kept")
@@ -78,10 +85,17 @@ QUERIES = {
     for f in (
         op1_token_files,
         op2_decontamination,
+        op4_mixing,
         op5_substring_dedup,
         op6_quality_rules,
         op10_line_dedup,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op4_mixing": oracles.MIX,
+    "op5_substring_dedup": oracles.SUBSTRINGS,
+    "op6_quality_rules": oracles.QUALITY,
+    "op10_line_dedup": oracles.LINES,
+}
