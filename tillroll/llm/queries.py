@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, line_dedup, mix, oracles, quality, substring_dedup, token_files
+from . import decontaminate, html_text, line_dedup, mix, oracles, quality, substring_dedup
+from . import token_files
 from .session import prepare
 
 
@@ -70,6 +71,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -88,6 +95,7 @@ QUERIES = {
         op4_mixing,
         op5_substring_dedup,
         op6_quality_rules,
+        op9_html_extraction,
         op10_line_dedup,
     )
 }
