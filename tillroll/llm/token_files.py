@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +29,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_BYTES = 64  # longer words are encoded without being remembered
-REMEMBERED = 400_000
-TRAILING = ".,!?:;|"
+REMEMBERED = 500_000
 
 
-def _byte_symbols() -> list[str]:
+def _byte_symbols() -> dict[int, str]:
     """The printable character that byte-level vocabularies use for each byte."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(0x100, 0x200))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian bytes, remembered.
 
     No token of this kind of tokenizer crosses white space, so a text's ids are those of
-    its words. Words of letters go straight to the model; anything else takes the whole
-    way through the tokenizer.
+    its words. It also splits letters from what follows them. Words of letters in normal
+    form go straight to the model; anything else takes the whole way through the tokenizer.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.symbols = _byte_symbols()
 
+    def _any(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _letters(self, word: str) -> bytes:
-        """Ids of a lower-case word of letters in normal form."""
         if word.isascii():
-            return self._pack(t.id for t in self.model.tokenize(word))
+            if not word.islower():
+                return self[word.lower()]
+            return array("i", [t.id for t in self.tokenize(word)]).tobytes()
+        lower = "".join(map(str.lower, word))
+        if lower != word:
+            return self[lower] if lower.isalpha() and len(lower) == len(word) else self._any(word)
         if not unicodedata.is_normalized("NFC", word):
             return self._any(word)
-        symbols = "".join(map(self.symbols.__getitem__, word.encode()))
-        return self._pack(t.id for t in self.model.tokenize(symbols))
-
-    def _any(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _pack(ids) -> bytes:
-        return np.fromiter(ids, dtype="<i4").tobytes()
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        return array("i", [t.id for t in self.tokenize(symbols)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if not word:
@@ -72,16 +73,10 @@ class WordIds(dict):
         if len(word) > WORD_BYTES:
             return self._any(word)
         if word.isalpha():
-            lower = word.lower() if word.isascii() else "".join(map(str.lower, word))
-            if lower == word:
-                ids = self._letters(word)
-            elif lower.isalpha() and len(lower) == len(word):
-                ids = self[lower]
-            else:
-                ids = self._any(word)
+            ids = self._letters(word)
         else:
-            base = word.rstrip(TRAILING)
-            if base != word and base.isalpha():
+            base = word.rstrip(punctuation)
+            if base != word and base.isalpha() and base.lower().isalpha():
                 ids = self[base] + self[word[len(base) :]]
             else:
                 ids = self._any(word)
