@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_text, line_dedup, mix, oracles, quality, substring_dedup
-from . import token_files
+from . import decontaminate, html_text, jaccard_join, line_dedup, mix, oracles, quality
+from . import substring_dedup, token_files
 from .session import prepare
 
 
@@ -71,6 +71,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     texts = pages.select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
@@ -95,6 +99,7 @@ QUERIES = {
         op4_mixing,
         op5_substring_dedup,
         op6_quality_rules,
+        op8_ngram_jaccard,
         op9_html_extraction,
         op10_line_dedup,
     )
@@ -105,5 +110,6 @@ SQL = {
     "op4_mixing": oracles.MIX,
     "op5_substring_dedup": oracles.SUBSTRINGS,
     "op6_quality_rules": oracles.QUALITY,
+    "op8_ngram_jaccard": oracles.JACCARD,
     "op10_line_dedup": oracles.LINES,
 }
