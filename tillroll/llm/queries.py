@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_text, jaccard_join, line_dedup, mix, oracles, quality
-from . import substring_dedup, token_files
+from . import decontaminate, html_text, jaccard_join, language_id, licenses, line_dedup, mix
+from . import oracles, quality, substring_dedup, token_files
 from .session import prepare
 
 
@@ -44,6 +44,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    training = docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang")
+    predict = language_id.predictor(spark, language_id.train(training))
+    found = docs.select("doc_id", held_out.alias("held_out"), predict(F.col("text")).alias("p"))
+    return found.select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix.planned(docs).select(
@@ -71,6 +82,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", licenses.scan(F.col("text")).alias("m"))
+    return found.select(
+        "doc_id",
+        F.size("m").cast("long").alias("n_licenses"),
+        F.array_join("m.license", ",").alias("licenses"),
+        F.coalesce(F.array_max("m.share"), F.lit(0.0)).alias("best_share"),
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -96,9 +118,11 @@ QUERIES = {
     for f in (
         op1_token_files,
         op2_decontamination,
+        op3_language_id,
         op4_mixing,
         op5_substring_dedup,
         op6_quality_rules,
+        op7_license_scan,
         op8_ngram_jaccard,
         op9_html_extraction,
         op10_line_dedup,
