@@ -72,6 +72,10 @@ r_ranked AS (
   SELECT *, rank() OVER (ORDER BY rev DESC) AS revenue_rank,
          rank() OVER (ORDER BY rating14 DESC) AS rating_rank, count(*) OVER () AS qualified
   FROM r_qualified),
+r_known_ranked AS (
+  SELECT q.*, s.state, rank() OVER (ORDER BY rev DESC) AS revenue_rank,
+         rank() OVER (ORDER BY rating14 DESC) AS rating_rank
+  FROM r_qualified q JOIN r_sellers s USING (seller_id)),
 r_person_months AS (
   SELECT DISTINCT person, CAST(date_trunc('month', day) AS DATE) AS month
   FROM r_orders WHERE status = 'F'),
@@ -149,16 +153,14 @@ _COHORT_GRID = """(
   WHERE g.cohort + to_months(CAST(g.k AS INTEGER)) < DATE '1998-09-01')"""
 
 _FIRST_ORDERS = """
-f_seq AS (
-  SELECT person, day, delay,
-         row_number() OVER (PARTITION BY person ORDER BY ts, order_id) AS seq,
-         count(*) OVER (PARTITION BY person) AS n
-  FROM r_scoped WHERE delay IS NOT NULL),
+f_people AS (
+  SELECT person, arg_min(day, {'t': ts, 'o': order_id}) AS day,
+         arg_min(delay > 0, {'t': ts, 'o': order_id}) AS late, count(*) >= 2 AS again
+  FROM r_scoped WHERE delay IS NOT NULL GROUP BY person),
 f_samples AS (
-  SELECT '1. All first orders' AS sample, delay > 0 AS late, n >= 2 AS again FROM f_seq WHERE seq = 1
+  SELECT '1. All first orders' AS sample, late, again FROM f_people
   UNION ALL
-  SELECT '2. First order before Mar 1998', delay > 0, n >= 2 FROM f_seq
-  WHERE seq = 1 AND day < DATE '1998-03-01'),
+  SELECT '2. First order before Mar 1998', late, again FROM f_people WHERE day < DATE '1998-03-01'),
 f_rates AS (
   SELECT sample, count(*) FILTER (WHERE NOT late) AS n0, count(*) FILTER (WHERE NOT late AND again) AS h0,
          count(*) FILTER (WHERE late) AS n1, count(*) FILTER (WHERE late AND again) AS h1
@@ -298,6 +300,10 @@ def _audit_lengths() -> str:
     ])
 
 
+def _midnight(day: str) -> str:
+    return f"CAST(CAST({day} AS TIMESTAMP) AS VARCHAR)"
+
+
 _TABLE_SIZES = [
     ("customers", "r_orders"),
     ("sellers", "r_sellers"),
@@ -363,10 +369,11 @@ def _bodies() -> dict[str, tuple[str, str]]:
             f"SELECT CAST(CAST(date_trunc('quarter', day) AS DATE) AS VARCHAR) AS quarter, count(*) AS delivered_orders, "
             f"{pct('count(*) FILTER (WHERE delay > 0)', 'count(*)', 1)} AS late_pct FROM r_scoped WHERE delay IS NOT NULL GROUP BY 1"),
         "q9a_top_sellers": (
-            f"w AS (SELECT *, rank() OVER (ORDER BY rev DESC) AS rk, sum(rev) OVER () AS total, {_RUNNING} AS running FROM r_seller_rev)",
+            f"w AS (SELECT *, rank() OVER (ORDER BY rev DESC) AS rk, sum(rev) OVER () AS total, {_RUNNING} AS running "
+            "FROM r_seller_rev JOIN r_sellers USING (seller_id))",
             f"SELECT rk AS revenue_rank, seller_id, state AS seller_state, orders, {money('rev')} AS revenue, "
             f"{pct('rev', 'total', 2)} AS pct_of_revenue, {pct('running', 'total', 2)} AS cumulative_pct "
-            "FROM w JOIN r_sellers USING (seller_id) ORDER BY rk, seller_id LIMIT 20"),
+            "FROM w ORDER BY rk, seller_id LIMIT 20"),
         "q9b_pareto": (
             f"w AS (SELECT {_RUNNING} AS running, sum(rev) OVER () AS total FROM r_seller_rev)",
             "SELECT count(*) AS total_sellers, count(*) FILTER (WHERE running * 100 <= total * 80) AS sellers_for_80pct, "
@@ -390,9 +397,10 @@ def _bodies() -> dict[str, tuple[str, str]]:
             f"size AS cohort_size, {pct('active', 'size', 2)} AS retention_pct FROM w WHERE cohort + to_months(CAST(k AS INTEGER)) < DATE '1998-09-01'"),
         "q13b_cohort_matrix": (none, _cohort_matrix()),
         "q14_second_order_gap": (
-            "s AS (SELECT day, lead(day) OVER (PARTITION BY person ORDER BY ts, order_id) AS next_day, "
-            "row_number() OVER (PARTITION BY person ORDER BY ts, order_id) AS seq FROM r_scoped), "
-            "g AS (SELECT date_diff('day', day, next_day) AS gap FROM s WHERE seq = 1 AND next_day IS NOT NULL)",
+            "firsts AS (SELECT person, min({'t': ts, 'o': order_id, 'd': day}) AS a FROM r_scoped GROUP BY person), "
+            "seconds AS (SELECT r.person, min({'t': ts, 'o': order_id, 'd': day}) AS b FROM r_scoped r "
+            "JOIN firsts f ON r.person = f.person WHERE order_id <> f.a.o GROUP BY r.person), "
+            "g AS (SELECT date_diff('day', a.d, b.d) AS gap FROM firsts JOIN seconds USING (person))",
             f"SELECT count(*) AS repeat_customers, {mean('sum(gap)', 'count(*)', 1)} AS avg_days, "
             "CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY gap) AS DOUBLE) AS median_days, "
             f"{pct('count(*) FILTER (WHERE gap = 0)', 'count(*)', 1)} AS pct_same_day, "
@@ -423,7 +431,7 @@ def _bodies() -> dict[str, tuple[str, str]]:
         "v3_seller_summary": (none,
             f"SELECT seller_id, substr(seller_id, 1, 8) AS seller_short_id, state AS seller_state, orders, {money('rev')} AS revenue, "
             f"reviewed AS reviewed_orders, {mean('rating14', '1', 2, E14)} AS avg_rating, revenue_rank, rating_rank "
-            "FROM r_ranked JOIN r_sellers USING (seller_id)"),
+            "FROM r_known_ranked"),
         "v4_cohort_retention": (none,
             "SELECT CAST(cohort AS VARCHAR) AS cohort_month, CAST(k AS INTEGER) AS month_number, active AS active_customers, "
             f"size AS cohort_size, {pct('active', 'size', 2)} AS retention_pct FROM {_COHORT_GRID}"),
@@ -437,8 +445,8 @@ def _bodies() -> dict[str, tuple[str, str]]:
             "w AS (SELECT *, dense_rank() OVER (PARTITION BY state ORDER BY rev DESC) AS rk FROM r_grid)",
             "SELECT category, count(*) AS states_led FROM w WHERE rk = 1 GROUP BY category"),
         "d4_mean_month1_retention": (
-            f"w AS (SELECT *, CAST({half_up('active * 10000', 'size')} AS BIGINT) AS e2 FROM {_COHORT_GRID} WHERE k = 1)",
-            f"SELECT {mean('sum(e2)', 'count(*)', 2, 100)} AS mean_retention_pct, {pct('sum(active)', 'sum(size)', 2)} AS pooled_retention_pct FROM w"),
+            f"w AS (SELECT * FROM {_COHORT_GRID} WHERE k = 1)",
+            f"SELECT round(avg(active * 100.0::DOUBLE / size), 2) AS mean_retention_pct, {pct('sum(active)', 'sum(size)', 2)} AS pooled_retention_pct FROM w"),
         "d5_top_state_share": (
             "w AS (SELECT *, row_number() OVER (ORDER BY rev DESC, state) AS i, sum(rev) OVER () AS total, "
             "sum(rev) OVER (ORDER BY rev DESC, state ROWS UNBOUNDED PRECEDING) AS running FROM r_states)",
@@ -464,6 +472,24 @@ def _bodies() -> dict[str, tuple[str, str]]:
         "l4_geolocation_rollup": (none,
             f"SELECT p.zip AS zip_code_prefix, {_MEAN_LAT} AS lat, -{_MEAN_LAT} AS lng, any_value(c.top) AS city, any_value(s.top) AS state "
             f"FROM r_points p JOIN {_MODE.format(c='city')} c ON c.zip = p.zip JOIN {_MODE.format(c='state')} s ON s.zip = p.zip GROUP BY p.zip"),
+        "l5_customers": (none,
+            "SELECT order_id AS customer_id, person AS customer_unique_id, zip AS customer_zip_code_prefix, "
+            "city AS customer_city, state AS customer_state FROM r_orders"),
+        "l5_orders": (none,
+            "SELECT order_id, order_id AS customer_id, status AS order_status, CAST(ts AS VARCHAR) AS order_purchase_timestamp, "
+            "CASE WHEN o_orderkey % 89 <> 0 THEN CAST(ts AS VARCHAR) END AS order_approved_at, "
+            f"CASE WHEN o_orderkey % 83 <> 0 THEN {_midnight('day + 1')} END AS order_delivered_carrier_date, "
+            f"{_midnight('day + CAST(delay + 37 AS INTEGER)')} AS order_delivered_customer_date, "
+            f"{_midnight('day + 37')} AS order_estimated_delivery_date FROM r_orders"),
+        "l5_order_items": (none,
+            f"SELECT order_id, order_item_id, product_id, seller_id, {_midnight('shipping_limit_date')} AS shipping_limit_date, "
+            f"{money('price')} AS price, {money('freight')} AS freight_value FROM r_lines"),
+        "l5_order_reviews": (none,
+            "SELECT CAST(l_partkey AS VARCHAR) AS review_id, CAST(l_orderkey AS VARCHAR) AS order_id, "
+            "CAST(l_partkey % 5 + 1 AS INTEGER) AS review_score, CASE WHEN l_partkey % 11 = 0 THEN l_returnflag END AS review_comment_title, "
+            "CASE WHEN l_partkey % 13 = 0 THEN 'Part ' || l_partkey || ' is \"fine\",' || chr(10) || 'said the buyer, twice' END AS review_comment_message, "
+            f"{_midnight('l_shipdate')} AS review_creation_date, {_midnight('CAST(l_shipdate AS DATE) + 1')} AS review_answer_timestamp "
+            "FROM lineitem WHERE l_linestatus = 'F'"),
         "l6_load_reconcile": (none, " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS expected, count(*) AS actual, 'OK' AS status FROM {r}" for t, r in _TABLE_SIZES)),
     }

@@ -8,6 +8,7 @@ import pytest
 from tests.shop import rows
 from tillroll import load
 from tillroll.schema import TABLES
+from tillroll.scope import MONTH_COLUMN
 from tillroll.sources import raw_csv, store
 
 RAW = {
@@ -67,7 +68,7 @@ def test_whole_load(spark, raw, tmp_path):
     tables = store.load_tables(spark, str(raw), target)
 
     for name, df in tables.items():
-        assert [(f.name, f.dataType) for f in df.schema] == [
+        assert [(f.name, f.dataType) for f in df.schema if f.name != MONTH_COLUMN] == [
             (f.name, f.dataType) for f in TABLES[name].schema
         ]
     assert {r.customer_zip_code_prefix for r in tables.customers.collect()} == {"01001", "09790"}
@@ -151,3 +152,25 @@ def test_a_raw_table_may_be_many_files(spark, raw):
     (folder / "2.csv").write_text(f"{header}\n{second}\n")
     tables = store.raw_tables(spark, str(raw), {**raw_csv.RAW_FILES, "customers": "customers/*.csv"})
     assert tables.customers.count() == 2
+
+
+def test_files_of_one_table_must_agree_in_their_header(spark, raw):
+    folder = raw / "sellers"
+    folder.mkdir()
+    (folder / "1.csv").write_text("seller_id,seller_zip_code_prefix,seller_city,seller_state\na,01001,rio,RJ\n")
+    (folder / "2.csv").write_text("seller_id,seller_zip_code_prefix,seller_state,seller_city\nb,01002,RJ,rio\n")
+    for one in ("1.csv", "2.csv"):
+        tables = store.raw_tables(spark, str(raw), {**raw_csv.RAW_FILES, "sellers": f"sellers/{one}"})
+        assert rows(tables.sellers)[0][2:] == ("rio", "RJ")
+    both = store.raw_tables(spark, str(raw), {**raw_csv.RAW_FILES, "sellers": "sellers"})
+    with pytest.raises(Exception, match="(?i)header"):
+        both.sellers.collect()
+
+
+def test_most_frequent_names_and_ties(spark):
+    points = [("1", "1.0", "2.0", c, s) for c, s in
+              [("b", "X"), ("b", "Y"), ("a", "Y"), ("a", "Z"), (None, "Z"), (None, None)]]
+    points += [("2", None, "3.0", None, None), (None, "9.0", "9.0", "q", "Q")]
+    names = [f"geolocation_{c} string" for c in ("zip_code_prefix", "lat", "lng", "city", "state")]
+    got = sorted(rows(raw_csv.rollup_geolocation(spark.createDataFrame(points, ", ".join(names)))))
+    assert got == [("1", Decimal("1"), Decimal("2"), "a", "Y"), ("2", None, Decimal("3"), None, None)]

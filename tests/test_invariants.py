@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.plans import delivery, region, retention, sellers, semantic, trend
+import __spark_entry__ as entry_module
+from tillroll.plans import delivery, findings, region, retention, sellers, semantic, trend
 from tillroll.schema import TABLES
 from tillroll.sources import store, synthetic
 
@@ -101,10 +102,69 @@ def test_hot_person_is_cut_before_the_shuffle(tables, no_broadcast):
 
 
 def test_seller_orders_share_the_join_shuffle(tables, no_broadcast):
-    plan = plan_of(sellers.top_sellers(tables, SCOPE))
-    assert plan.count("Exchange hashpartitioning(order_id") == 2
+    df = sellers.top_sellers(tables, SCOPE)
+    df.collect()
+    plan = plan_of(df).split("Initial Plan")[0]
     assert "Exchange hashpartitioning(order_id, seller_id" not in plan
-    assert "SinglePartition" not in plan
+    assert "Expand" not in plan
+    assert "ReusedExchange" in plan  # the total comes from the sums of the list
+
+
+def test_cohorts_take_one_shuffle_per_person(tables, no_broadcast):
+    plan = plan_of(retention.cohort_activity(tables, SCOPE))
+    assert plan.count("Exchange hashpartitioning(customer_unique_id") == 1
+    assert "Window" not in plan
+
+
+def test_category_lines_are_shuffled_twice(tables, no_broadcast):
+    plan = plan_of(region.state_category(tables, SCOPE))
+    assert "hashpartitioning(customer_state" in plan  # of the grid, after both joins
+    assert "Exchange hashpartitioning(customer_state#" in plan
+    for keys in plan.split("Exchange hashpartitioning(")[1:]:
+        assert "order_id" not in keys.split(")")[0] or keys.startswith("order_id")
+
+
+def test_one_sort_for_growth_and_state_shares(tables):
+    for plan in (trend.revenue_growth, findings.top_state_share):
+        text = plan_of(plan(tables, SCOPE))
+        below = text[text.index("SinglePartition"):]
+        assert "rangepartitioning" not in below
+
+
+def test_building_a_plan_starts_no_job(spark, tables):
+    spark.sparkContext.setJobGroup("building", "")
+    for plan in (sellers.pareto, sellers.sellers_by_rating, semantic.seller_summary_view):
+        plan(tables, SCOPE)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
+def test_money_and_days_keep_their_types(tables):
+    """Every plan, before the registered queries turn decimals and dates into plain values."""
+    decimals = {"revenue", "price", "freight_value", "product_value", "prev_month_revenue",
+                "rolling_3m_avg", "revenue_this_year", "revenue_last_year"}
+    days = {"purchase_date", "order_month", "cohort_month", "month", "quarter"}
+    seen = set()
+    for name, plan in entry_module.ON_TABLES.items():
+        for column, kind in plan(tables).dtypes:
+            if column in decimals or column.startswith("pct_") or column.endswith("_pct"):
+                exact = name == "d4_mean_month1_retention" and column == "mean_retention_pct"
+                assert kind.startswith("double" if exact else "decimal"), (name, column, kind)
+                seen.add(column)
+            elif column in days:
+                assert kind == "date", (name, column, kind)
+                seen.add(column)
+    assert decimals | days <= seen
+
+
+def test_scope_filter_reads_fewer_files(tables):
+    def scanned(df):
+        df.collect()
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numFiles").value()
+
+    inside = scanned(SCOPE.apply(tables.orders).select("order_id"))
+    everything = scanned(tables.orders.select("order_id"))
+    assert 0 < inside < everything / 2
 
 
 def test_buckets_spare_the_order_shuffles(spark, tables, no_broadcast, tmp_path):
@@ -121,12 +181,6 @@ def test_buckets_spare_the_order_shuffles(spark, tables, no_broadcast, tmp_path)
             spark.sql(f"DROP TABLE IF EXISTS default.{name}")
 
 
-def test_scratch_tables_go_to_the_shared_folder(spark, tables):
-    shared = spark.conf.get("spark.checkpoint.dir")
-    files = sellers.ranked_sellers(tables, SCOPE, min_reviewed=1).inputFiles()
-    assert files and all(shared in f for f in files)
-
-
 def test_hot_order_is_split_at_run_time(spark, tables, no_broadcast, tmp_path):
     """A third of all lines in one order: its join partition is split over tasks,
     although the aggregate after the join builds on the join's partitioning."""

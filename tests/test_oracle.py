@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import duckdb
 import pytest
 
@@ -11,8 +9,7 @@ import __spark_entry__ as entry_module
 
 SF_DIR = "/root/testdata/sf0.01"
 SOURCES = "region nation customer supplier part orders lineitem events".split()
-
-pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+QUERIES = [*entry_module.ON_TABLES, *entry_module.ON_FILES]
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +21,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(QUERIES) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", QUERIES)
 def test_matches_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     cursor = duck.execute(entry_module.oracle_sql()[name])

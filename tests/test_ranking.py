@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from tillroll.operators import ranking
 
 
-@pytest.fixture(params=["one window", "blocks", "small blocks"])
+@pytest.fixture(params=["blocks", "small blocks"])
 def way(request, monkeypatch):
-    if request.param != "one window":
-        monkeypatch.setattr(ranking, "MAX_WINDOW_ROWS", -1)
     if request.param == "small blocks":
         monkeypatch.setattr(ranking, "BLOCK_BITS", 3)
     return request.param
@@ -35,7 +33,7 @@ KINDS = ["spread", "clustered", "a third tied", "one", "none"]
 @pytest.mark.parametrize("kind", KINDS)
 def test_rank_equals_one_window(spark, way, kind):
     df = spark.createDataFrame(list(enumerate(_values(kind))), "id bigint, v bigint")
-    got = ranking.add_ranks(df, {"place": F.col("v")}, "n").select("id", "v", "place", "n")
+    got = ranking.add_ranks(df, "id", {"place": F.col("v")}, "n").select("id", "v", "place", "n")
     want = df.select(
         "id", "v",
         F.rank().over(Window.orderBy(F.desc("v"))).cast("bigint"),
@@ -49,18 +47,41 @@ def test_totals_equal_plain_sums(spark, way, kind):
     # small enough for the sums to fit
     values = sorted({v // 2**20 for v in _values(kind)}, reverse=True)
     df = spark.createDataFrame([(v, abs(v) % 97) for v in values], "v bigint, w bigint")
-    got = ranking.running_totals(df, "v", ["w"], len(values)).select("v", "above_w", "total_w")
+    got = ranking.running_totals(df, "v", ["w"]).select("v", "above_w", "total_w")
     weights = [abs(v) % 97 for v in values]
     want = {(v, sum(weights[:i]), sum(weights)) for i, v in enumerate(values)}
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_blocks_hold_no_whole_table_window(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "MAX_WINDOW_ROWS", -1)
+def test_several_ranks_and_missing_values(spark, way):
+    rows = [(i, i % 7 if i % 5 else None, -i % 4 if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, a bigint, b bigint")
+    got = ranking.add_ranks(df, "id", {"ra": F.col("a"), "rb": F.col("b")}, "n")
+
+    def rank(i, value):
+        values = [r[i] for r in rows if r[i] is not None]
+        return None if value is None else 1 + sum(v > value for v in values)
+
+    n = max(sum(r[i] is not None for r in rows) for i in (1, 2))
+    want = {
+        (k, a, b, n if None not in (a, b) else None, rank(1, a), rank(2, b))
+        for k, a, b in rows if (a, b) != (None, None)
+    }
+    found = {tuple(r) for r in got.select("id", "a", "b", "n", "ra", "rb").collect()}
+    assert {(*w[:3], *w[4:]) for w in want} == {(*f[:3], *f[4:]) for f in found}
+
+
+def test_no_job_runs_and_no_window_holds_the_table(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10).alias("v"))
-    ranked = ranking.add_ranks(df, {"place": F.col("v")}, "n")
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    # the one unpartitioned window runs on super-blocks, after two more aggregations
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans only", "")
+    ranked = ranking.add_ranks(df, "id", {"place": F.col("v"), "other": -F.col("v")}, "n")
+    totals = ranking.running_totals(df.groupBy("v").count(), "v", ["count"])
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert not tracker.getJobIdsForGroup("plans only")
+    # ranks are windows per rank; a running total's one unpartitioned window runs on
+    # super-blocks, after two more aggregations
+    assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
     single = plan[plan.index("Exchange SinglePartition"):].split("\n")[1]
     assert "keys=[_super" in single
     assert plan.count("SinglePartition") == 1

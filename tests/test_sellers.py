@@ -4,10 +4,13 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.shop import Shop, rows
-from tillroll.operators import ranking
 from tillroll.plans import findings, sellers, semantic
 from tillroll.scope import Scope
+from tillroll.sources import store
+from tillroll.tables import RetailTables
 
 
 def _earning(amounts: dict[str, str]):
@@ -34,7 +37,6 @@ def test_orders_of_a_seller_count_once(spark):
     assert [(r[1], r[3], r[4]) for r in got] == [("a", 1, Decimal("20.00")), ("b", 1, Decimal("10.00"))]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
 @pytest.mark.parametrize(
     "amounts,expected",
     [
@@ -46,8 +48,7 @@ def test_orders_of_a_seller_count_once(spark):
         (["10.00"] * 7 + ["0.00"], 5),
     ],
 )
-def test_pareto(spark, monkeypatch, limit, amounts, expected):
-    monkeypatch.setattr(ranking, "MAX_WINDOW_ROWS", limit)
+def test_pareto(spark, amounts, expected):
     shop = _earning({f"s{i}": a for i, a in enumerate(amounts)})
     n, within, share = rows(sellers.pareto(shop.tables(spark), Scope()))[0]
     assert (n, within) == (len(amounts), expected)
@@ -101,3 +102,38 @@ def test_overlap(spark):
     tables = _rated().tables(spark)
     assert rows(findings.top_list_overlap(tables, Scope(), top_n=1)) == [(0,)]
     assert rows(findings.top_list_overlap(tables, Scope(), top_n=2)) == [(2,)]
+
+
+def test_lists_of_known_sellers_have_no_gaps(spark):
+    shop = _earning({"a": "50.00", "b": "20.00", "c": "15.00", "d": "10.00", "e": "5.00"})
+    tables = shop.tables(spark)
+    known = tables.sellers.filter("seller_id <> 'b'")
+    without = RetailTables(lambda t: known if t == "sellers" else getattr(tables, t))
+    got = rows(sellers.top_sellers(without, Scope(), top_n=3))
+    assert [(r[0], r[1]) for r in got] == [(1, "a"), (2, "c"), (3, "d")]
+    assert got[0][5] == Decimal("62.50")  # of 80, without the unknown seller
+    view = semantic.seller_summary_view(without, Scope(), min_reviewed=0)
+    assert sorted((r.revenue_rank, r.seller_id) for r in view.collect()) == [
+        (1, "a"), (2, "c"), (3, "d"), (4, "e")]
+
+
+def test_views_follow_the_tables(spark, tmp_path):
+    tables = _earning({"a": "50.00", "b": "20.00"}).tables(spark)
+    root = str(tmp_path)
+    stored = store.store_tables(spark, tables, root)
+    semantic.register_views(stored, Scope())
+    sums = "SELECT sum(revenue) FROM vw_orders"
+    assert rows(spark.sql(sums)) == [(Decimal("70.00"),)]
+    seller_summary = semantic.seller_summary_view(stored, Scope(), min_reviewed=0)
+    seller_summary.createOrReplaceTempView("vw_seller_summary")
+    top = "SELECT seller_id, revenue FROM vw_seller_summary WHERE revenue_rank = 1"
+    assert rows(spark.sql(top)) == [("a", Decimal("50.00"))]
+    tables.order_items.filter("seller_id = 'b'").withColumn(
+        "order_item_id", F.lit(2)
+    ).withColumn("price", F.lit(Decimal("90.00")).cast("decimal(10,2)")).select(
+        *stored.order_items.columns
+    ).write.mode("append").parquet(f"{root}/order_items")
+    for view in ("vw_orders", "vw_seller_summary"):
+        spark.sql(f"REFRESH TABLE {view}")
+    assert rows(spark.sql(sums)) == [(Decimal("160.00"),)]
+    assert rows(spark.sql(top)) == [("b", Decimal("110.00"))]

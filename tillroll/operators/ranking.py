@@ -1,8 +1,7 @@
 """Ranks and running totals over a whole table, without one task sorting it all.
 
 A window with no partition sends every row to one task. Here rows are first
-counted per distinct key, so ties of any size become one row. Up to
-MAX_WINDOW_ROWS of those, one task is the fastest way. Beyond that the ordered
+counted per distinct key, so ties of any size become one row, and the ordered
 range of keys is cut into fixed-width blocks:
 
     key            a 64-bit integer
@@ -13,7 +12,7 @@ There are at most 2^22 super-blocks in all. Each level is ordered inside its
 parent only, so no window ever holds more than 2^22 rows whatever the input,
 and an offset from the level above makes its totals global. The blocks are a
 function of the key alone: nothing is sampled, and a recomputed task agrees
-with the first run.
+with the first run. Nothing runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -22,63 +21,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 21
-MAX_WINDOW_ROWS = 1 << 20
 
 
-def running_totals(distinct: DataFrame, key: str, weights: list[str], rows: int) -> DataFrame:
+def running_totals(
+    distinct: DataFrame, key: str, weights: list[str], by: tuple[str, ...] = ()
+) -> DataFrame:
     """Totals from the largest key down, over rows with one row per key.
 
     Adds, for each weight w: `above_w`, the sum over all larger keys, and
-    `total_w`, the sum over everything. `rows` is the known or greatest possible
-    number of rows; it picks the way, not the result.
+    `total_w`, the sum over everything. With `by`, every value of those columns
+    is a table of its own.
     """
-    if rows <= MAX_WINDOW_ROWS:
-        return _above(distinct, Window.orderBy(F.desc(key)), weights).withColumns(_totals(weights))
-
-    blocks = _sums(distinct.withColumn("_block", F.shiftright(key, BLOCK_BITS)), "_block", weights)
-    supers = _sums(blocks.withColumn("_super", F.shiftright("_block", BLOCK_BITS)), "_super", weights)
-
+    blocks = _sums(
+        distinct.withColumn("_block", F.shiftright(key, BLOCK_BITS)), [*by, "_block"], weights
+    )
+    supers = _sums(
+        blocks.withColumn("_super", F.shiftright("_block", BLOCK_BITS)), [*by, "_super"], weights
+    )
+    totals = {f"total_{w}": F.sum(w).over(Window.partitionBy(*by)) for w in weights}
     supers = _as_offsets(
-        _above(supers, Window.orderBy(F.desc("_super")), weights).withColumns(_totals(weights)),
-        "_super",
-        weights,
+        _above(supers, [*by], "_super", weights).withColumns(totals), [*by, "_super"], weights
     )
     blocks = _as_offsets(
-        _shifted(blocks, F.shiftright("_block", BLOCK_BITS), "_super", "_block", supers, weights),
-        "_block",
-        weights,
+        _shifted(blocks, "_super", "_block", supers, weights, by), [*by, "_block"], weights
     )
-    return _shifted(
-        distinct, F.shiftright(key, BLOCK_BITS), "_block", key, blocks, weights
-    ).drop("_block")
+    return _shifted(distinct, "_block", key, blocks, weights, by).drop("_block")
 
 
-def _sums(df: DataFrame, key: str, weights: list[str]) -> DataFrame:
-    return df.groupBy(key).agg(*[F.sum(w).alias(w) for w in weights])
+def _sums(df: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(w).alias(w) for w in weights])
 
 
-def _above(df: DataFrame, window, weights: list[str]) -> DataFrame:
+def _above(df: DataFrame, parents: list[str], key: str, weights: list[str]) -> DataFrame:
+    window = Window.partitionBy(*parents).orderBy(F.desc(key))
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns(
         {f"above_{w}": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights}
     )
 
 
-def _totals(weights: list[str]) -> dict[str, Column]:
-    everything = Window.partitionBy()
-    return {f"total_{w}": F.sum(w).over(everything) for w in weights}
-
-
-def _as_offsets(level: DataFrame, key: str, weights: list[str]) -> DataFrame:
+def _as_offsets(level: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     return level.select(
-        key,
+        *keys,
         *[F.col(f"above_{w}").alias(f"_off_{w}") for w in weights],
         *[f"total_{w}" for w in weights],
     )
 
 
 def _shifted(
-    df: DataFrame, parent_of: Column, parent: str, key: str, offsets: DataFrame, weights: list[str]
+    df: DataFrame, parent: str, key: str, offsets: DataFrame, weights: list[str], by: tuple[str, ...]
 ) -> DataFrame:
     """Order `df` inside each parent, then shift by what lies above the parent.
 
@@ -86,30 +77,40 @@ def _shifted(
     join would push not-null filters below the aggregates of this branch only,
     and they could no longer share a shuffle with the other branches.
     """
+    parents = [*by, parent]
     inside = _above(
-        df.withColumn(parent, parent_of), Window.partitionBy(parent).orderBy(F.desc(key)), weights
+        df.withColumn(parent, F.shiftright(key, BLOCK_BITS)), parents, key, weights
     )
     return (
-        inside.join(offsets, parent, "left")
+        inside.join(offsets, parents, "left")
         .withColumns({f"above_{w}": F.col(f"above_{w}") + F.col(f"_off_{w}") for w in weights})
         .drop(*[f"_off_{w}" for w in weights])
     )
 
 
-def add_ranks(df: DataFrame, values: dict[str, Column], total: str) -> DataFrame:
+def add_ranks(df: DataFrame, row_id: str, values: dict[str, Column], total: str) -> DataFrame:
     """Add RANK() OVER (ORDER BY value DESC), ties included, for 64-bit integer values.
 
-    `values` maps each new column to what it ranks; `total` names a column with
-    the number of rows. Rows without a value drop out. `df` is counted first and
-    read once per rank, so it should be a stored table.
+    `values` maps each new column to what it ranks, `row_id` names a column unique
+    to each row, `total` the column that gets the number of ranked rows. All ranks
+    go through the same levels. A missing value has no rank; a row without any
+    value drops out.
     """
-    rows = df.count()
-    ranked = df.withColumn(total, F.lit(rows).cast("bigint"))
-    for rank, value in values.items():
-        key = f"_key_{rank}"
-        distinct = df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias("n"))
-        places = running_totals(distinct, key, ["n"], rows).select(
-            key, (F.col("above_n") + 1).alias(rank)
-        )
-        ranked = ranked.withColumn(key, value).join(places, key).drop(key)
-    return ranked
+    others = [c for c in df.columns if c != row_id]
+    keyed = df.select("*", F.posexplode(F.array(*values.values())).alias("_rank", "_key")).filter(
+        F.col("_key").isNotNull()
+    )
+    distinct = keyed.groupBy("_rank", "_key").agg(F.count(F.lit(1)).alias("n"))
+    places = running_totals(distinct, "_key", ["n"], by=("_rank",))
+    ranked = keyed.join(
+        places.select("_rank", "_key", (F.col("above_n") + 1).alias("_place"), "total_n"),
+        ["_rank", "_key"],
+    )
+    return ranked.groupBy(row_id).agg(
+        *[F.any_value(c).alias(c) for c in others],
+        F.max("total_n").alias(total),
+        *[
+            F.max(F.when(F.col("_rank") == i, F.col("_place"))).alias(rank)
+            for i, rank in enumerate(values)
+        ],
+    )

@@ -33,7 +33,7 @@ def ytd_growth_of(monthly: DataFrame, scope: Scope) -> DataFrame:
 
 
 def ytd_growth(tables: RetailTables, scope: Scope) -> DataFrame:
-    return ytd_growth_of(trend.monthly_revenue(tables, scope), scope)
+    return ytd_growth_of(trend.revenue_by_month(tables, scope), scope)
 
 
 def top_list_overlap(
@@ -57,10 +57,11 @@ def leading_category_states(tables: RetailTables, scope: Scope) -> DataFrame:
 
 
 def mean_month1_retention(tables: RetailTables, scope: Scope) -> DataFrame:
-    """Plain mean over cohorts of the month-1 retention; weighting by size as well."""
+    """Plain mean over cohorts of the exact month-1 retention; weighting by size as well."""
+    exact = F.col("active_customers") * F.lit(100.0) / F.col("cohort_size")
     month1 = cohort_retention_view(tables, scope, horizon=1).filter(F.col("month_number") == 1)
     return month1.agg(
-        F.round(F.avg("retention_pct"), 2).alias("mean_retention_pct"),
+        F.round(F.avg(exact), 2).alias("mean_retention_pct"),
         m.pct(F.sum("active_customers"), F.sum("cohort_size"), 2).alias("pooled_retention_pct"),
     )
 
@@ -70,7 +71,7 @@ def top_state_share(tables: RetailTables, scope: Scope, top_n: int = 3) -> DataF
     best_first = Window.orderBy(F.desc("revenue"), "customer_state")
     running = F.sum("revenue").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        region.state_revenue(tables, scope)
+        region.revenue_by_state(tables, scope)
         .select(
             F.row_number().over(best_first).alias("state_rank"),
             "customer_state",

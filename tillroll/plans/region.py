@@ -20,12 +20,13 @@ def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
     """Orders and revenue for every state and category.
 
     An order counts once in each of its categories, so lines are first brought
-    to one row per (order, category).
+    to one row per (order, category). Products are joined first: the join with
+    orders then leaves the lines where that grouping needs them.
     """
     return (
         _line_revenue(tables)
-        .join(order_states(tables, scope), "order_id")
         .join(product_categories(tables), "product_id")
+        .join(order_states(tables, scope), "order_id")
         .groupBy("customer_state", "category", "order_id")
         .agg(F.sum("cents").alias("cents"))
         .groupBy("customer_state", "category")
@@ -34,7 +35,8 @@ def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
     )
 
 
-def state_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
+def revenue_by_state(tables: RetailTables, scope: Scope) -> DataFrame:
+    """Revenue, share and mean freight of each state, in no order."""
     return (
         order_totals(tables.order_items)
         .join(order_states(tables, scope), "order_id")
@@ -52,10 +54,13 @@ def state_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
             share_of_all("revenue").alias("pct_of_revenue"),
             F.round(m.ratio(F.col("_freight"), F.col("_lines")), 2).alias("avg_freight_per_item"),
         )
-        .orderBy(F.desc("revenue"), "customer_state")
     )
 
 
+def state_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
+    return revenue_by_state(tables, scope).orderBy(F.desc("revenue"), "customer_state")
+
+
 def top_categories_by_state(tables: RetailTables, scope: Scope, k: int = 3) -> DataFrame:
     """The k leading categories of each state; equal revenues share a rank.
 

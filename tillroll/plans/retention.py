@@ -53,18 +53,18 @@ def cohort_activity(tables: RetailTables, scope: Scope) -> DataFrame:
     """Active customers per (first month, months since), for cohorts in the window.
 
     The first month is looked for in all orders of the status, before the window
-    is applied. A person's months are reduced to distinct ones first, so the
-    per-person window holds at most the calendar's months.
+    is applied. One aggregate per person finds it together with the person's
+    months, a set that the calendar bounds and that tasks reduce before the shuffle.
     """
-    months = (
+    bought = m.month_of(F.col(_BOUGHT))
+    people = (
         with_person(scope.has_status(tables.orders), tables.customers)
-        .select("customer_unique_id", m.month_of(F.col(_BOUGHT)).alias("order_month"))
-        .distinct()
+        .groupBy("customer_unique_id")
+        .agg(F.min(bought).alias("cohort_month"), F.collect_set(bought).alias("months"))
     )
-    person = Window.partitionBy("customer_unique_id")
     return (
-        months.withColumn("cohort_month", F.min("order_month").over(person))
-        .filter(scope.holds_month(F.col("cohort_month")))
+        people.filter(scope.holds_month(F.col("cohort_month")))
+        .select("cohort_month", F.explode("months").alias("order_month"))
         .groupBy(
             "cohort_month",
             m.months_between(F.col("order_month"), F.col("cohort_month")).alias("month_number"),

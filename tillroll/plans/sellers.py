@@ -11,7 +11,6 @@ from tillroll.functions import measures as m
 from tillroll.operators.grains import SCORE, order_scores, seller_orders
 from tillroll.operators.ranking import add_ranks, running_totals
 from tillroll.scope import Scope
-from tillroll.session import stored
 from tillroll.tables import RetailTables
 
 
@@ -21,44 +20,42 @@ def _rating_units() -> Column:
 
 
 def top_sellers(tables: RetailTables, scope: Scope, top_n: int = 20) -> DataFrame:
-    """The best sellers with their share and cumulative share of all revenue.
+    """The best known sellers with their share and cumulative share of all their revenue.
 
-    The rollup adds the grand total as one more row. Sorted first, it comes along
-    with the top rows; everything that outranks a top seller is a top seller, so
-    ranks and running sums over those rows equal ranks over the whole table.
+    Everything that outranks a top seller is a top seller, so ranks and running
+    sums over the top rows equal those over the whole table. The grand total is
+    one more row, from the same per-seller sums.
     """
-    ranked = (
+    per_seller = (
         seller_orders(tables, scope)
-        .rollup("seller_id")
-        .agg(
-            F.grouping("seller_id").alias("_is_total"),
-            F.count(F.lit(1)).alias("orders"),
-            F.sum("revenue_cents").alias("revenue_cents"),
-        )
-        .orderBy(F.desc("_is_total"), F.desc("revenue_cents"), "seller_id")
-        .limit(top_n + 1)
+        .groupBy("seller_id")
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue_cents").alias("revenue_cents"))
+        .join(tables.sellers.select("seller_id", "seller_state"), "seller_id")
+        .withColumn("_is_total", F.lit(0))
+    )
+    total = per_seller.agg(F.sum("revenue_cents").alias("revenue_cents")).withColumn(
+        "_is_total", F.lit(1)
     )
+    best = per_seller.orderBy(F.desc("revenue_cents"), "seller_id").limit(top_n)
     revenue = F.col("revenue_cents")
     best_first = Window.orderBy("_is_total", F.desc("revenue_cents"), "seller_id")
     by_value = Window.orderBy("_is_total", F.desc("revenue_cents"))
     grand_total = F.max(F.when(F.col("_is_total") == 1, revenue)).over(Window.partitionBy())
     running = F.sum(revenue).over(best_first.rowsBetween(Window.unboundedPreceding, 0))
-    listed = ranked.select(
-        "_is_total",
-        F.rank().over(by_value).cast("bigint").alias("revenue_rank"),
-        "seller_id",
-        "orders",
-        m.money(revenue).alias("revenue"),
-        m.pct(revenue, grand_total, 2).alias("pct_of_revenue"),
-        m.pct(running, grand_total, 2).alias("cumulative_pct"),
-    ).filter(F.col("_is_total") == 0)
     return (
-        tables.sellers.select("seller_id", "seller_state")
-        .join(listed, "seller_id")
+        best.unionByName(total, allowMissingColumns=True)
         .select(
-            "revenue_rank", "seller_id", "seller_state", "orders",
-            "revenue", "pct_of_revenue", "cumulative_pct",
+            "_is_total",
+            F.rank().over(by_value).cast("bigint").alias("revenue_rank"),
+            "seller_id",
+            "seller_state",
+            "orders",
+            m.money(revenue).alias("revenue"),
+            m.pct(revenue, grand_total, 2).alias("pct_of_revenue"),
+            m.pct(running, grand_total, 2).alias("cumulative_pct"),
         )
+        .filter(F.col("_is_total") == 0)
+        .drop("_is_total")
         .orderBy("revenue_rank", "seller_id")
     )
 
@@ -76,13 +73,12 @@ def pareto(tables: RetailTables, scope: Scope, share: Decimal = Decimal("0.80"))
         .groupBy("seller_id")
         .agg(F.sum("revenue_cents").alias("cents"))
     )
-    per_seller = stored(per_seller, "seller-revenue")
     distinct = (
         per_seller.groupBy("cents")
         .agg(F.count(F.lit(1)).alias("sellers"))
         .withColumn("earned", F.col("cents") * F.col("sellers"))
     )
-    totals = running_totals(distinct, "cents", ["earned"], rows=per_seller.count())
+    totals = running_totals(distinct, "cents", ["earned"])
     room = (
         F.floor(F.col("total_earned").cast("decimal(20,0)") * F.lit(share)).cast("bigint")
         - F.col("above_earned")
@@ -117,16 +113,21 @@ def seller_stats(tables: RetailTables, scope: Scope) -> DataFrame:
     )
 
 
-def ranked_sellers(tables: RetailTables, scope: Scope, min_reviewed: int = 30) -> DataFrame:
-    """Sellers with enough reviewed orders, ranked among themselves on exact values."""
-    qualified = seller_stats(tables, scope).filter(F.col("reviewed_orders") >= min_reviewed)
+def with_ranks(qualified: DataFrame) -> DataFrame:
+    """Sellers ranked among themselves by revenue and by rating, on exact values."""
     return add_ranks(
-        stored(qualified, "qualified-sellers"),
+        qualified,
+        "seller_id",
         {"revenue_rank": F.col("revenue_cents"), "rating_rank": _rating_units()},
         total="qualified_sellers",
     )
 
 
+def ranked_sellers(tables: RetailTables, scope: Scope, min_reviewed: int = 30) -> DataFrame:
+    """All sellers with enough reviewed orders, ranked."""
+    return with_ranks(seller_stats(tables, scope).filter(F.col("reviewed_orders") >= min_reviewed))
+
+
 def sellers_by_rating(
     tables: RetailTables,
     scope: Scope,

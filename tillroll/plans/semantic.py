@@ -13,7 +13,7 @@ from tillroll.operators.grains import (
     with_person,
 )
 from tillroll.plans.retention import cohort_counts
-from tillroll.plans.sellers import ranked_sellers
+from tillroll.plans.sellers import seller_stats, with_ranks
 from tillroll.scope import Scope
 from tillroll.tables import RetailTables
 
@@ -72,20 +72,22 @@ def order_items_view(tables: RetailTables, scope: Scope) -> DataFrame:
 def seller_summary_view(
     tables: RetailTables, scope: Scope, min_reviewed: int = 30
 ) -> DataFrame:
-    return (
-        ranked_sellers(tables, scope, min_reviewed)
+    """Known sellers with enough reviewed orders, ranked among themselves."""
+    qualified = (
+        seller_stats(tables, scope)
+        .filter(F.col("reviewed_orders") >= min_reviewed)
         .join(tables.sellers.select("seller_id", "seller_state"), "seller_id")
-        .select(
-            "seller_id",
-            F.substring("seller_id", 1, 8).alias("seller_short_id"),
-            "seller_state",
-            "orders",
-            m.money(F.col("revenue_cents")).alias("revenue"),
-            "reviewed_orders",
-            F.round("avg_rating", 2).alias("avg_rating"),
-            "revenue_rank",
-            "rating_rank",
-        )
+    )
+    return with_ranks(qualified).select(
+        "seller_id",
+        F.substring("seller_id", 1, 8).alias("seller_short_id"),
+        "seller_state",
+        "orders",
+        m.money(F.col("revenue_cents")).alias("revenue"),
+        "reviewed_orders",
+        F.round("avg_rating", 2).alias("avg_rating"),
+        "revenue_rank",
+        "rating_rank",
     )
 
 

@@ -11,7 +11,8 @@ from tillroll.scope import Scope
 from tillroll.tables import RetailTables
 
 
-def monthly_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
+def revenue_by_month(tables: RetailTables, scope: Scope) -> DataFrame:
+    """Orders and revenue of each month, in no order."""
     orders = scope.apply(tables.orders).select(
         "order_id", m.month_of(F.col("order_purchase_timestamp")).alias("month")
     )
@@ -22,10 +23,13 @@ def monthly_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
             F.count(F.lit(1)).alias("orders"),
             m.money(F.sum("revenue_cents")).alias("revenue"),
         )
-        .orderBy("month")
     )
 
 
+def monthly_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
+    return revenue_by_month(tables, scope).orderBy("month")
+
+
 def growth(monthly: DataFrame) -> DataFrame:
     """Month-on-month and year-on-year change and a three-row mean of (month, orders, revenue).
 
@@ -47,4 +51,4 @@ def growth(monthly: DataFrame) -> DataFrame:
 
 
 def revenue_growth(tables: RetailTables, scope: Scope) -> DataFrame:
-    return growth(monthly_revenue(tables, scope))
+    return growth(revenue_by_month(tables, scope))

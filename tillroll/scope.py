@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Stored orders are laid out by this column, the first day of the purchase month.
+MONTH_COLUMN = "purchase_month"
+
+
 @dataclass(frozen=True)
 class Scope:
     """Orders of one status bought in the half-open window [start, end)."""
@@ -21,11 +25,17 @@ class Scope:
         return orders.filter(F.col("order_status") == self.status)
 
     def apply(self, orders: DataFrame) -> DataFrame:
-        """Status and window on the raw columns, so both reach the file scan."""
+        """Status and window on the raw columns, so both reach the file scan; where orders
+        are laid out by month, files of other months are not opened."""
         bought = F.col("order_purchase_timestamp")
-        return self.has_status(orders).filter(
+        found = self.has_status(orders).filter(
             (bought >= timestamp_literal(self.start)) & (bought < timestamp_literal(self.end))
         )
+        if MONTH_COLUMN in orders.columns:
+            month = F.col(MONTH_COLUMN)
+            first = F.lit(self.start.replace(day=1))
+            found = found.filter((month >= first) & (month < F.lit(self.end))).drop(MONTH_COLUMN)
+        return found
 
     def holds_month(self, month: Column) -> Column:
         return (month >= F.lit(self.start)) & (month < F.lit(self.end))

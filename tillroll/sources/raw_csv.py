@@ -36,10 +36,14 @@ MULTILINE_TABLES = frozenset({"order_reviews"})
 
 
 def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """All columns as text under their header names; null tokens become NULL."""
+    """All columns as text under their header names; null tokens become NULL.
+
+    The files of a folder or pattern must agree in their header: one with other names,
+    or the same in another order, fails the read (`enforceSchema` off).
+    """
     raw = spark.read.csv(
         path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline,
-        mode="FAILFAST",
+        mode="FAILFAST", enforceSchema=False,
     )
     return nulls_from_tokens(raw)
 
@@ -70,26 +74,46 @@ def clean_products(text: DataFrame) -> DataFrame:
 def rollup_geolocation(points: DataFrame) -> DataFrame:
     """One mean point per zip prefix with its most frequent city and state.
 
-    Equally frequent names resolve to the smallest. Partial sums and name counts
-    are merged, so a prefix with very many points moves as one row per task. The
-    means are taken in decimals: their last digit must not depend on the order in
-    which tasks finish.
+    Equally frequent names resolve to the smallest. Points are counted per name
+    first, map-side, so a prefix with very many points moves as one row per name
+    and task, and no buffer holds the names of a prefix. The means are taken in
+    decimals: their last digit must not depend on the order in which tasks finish.
     """
-    def mean(axis: str) -> Column:
-        point = F.col(f"geolocation_{axis}").cast("decimal(18,14)")
-        return F.round(F.avg(point), 6).cast(POINT).alias(axis)
+    zip_code, city, state = (
+        f"geolocation_{c}" for c in ("zip_code_prefix", "city", "state")
+    )
+    by_city = F.grouping(city) == 0
 
-    return (
-        points.filter(F.col("geolocation_zip_code_prefix").isNotNull())
-        .groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix"))
+    def total(axis: str) -> Column:
+        return F.sum(F.col(f"geolocation_{axis}").cast("decimal(18,14)")).alias(axis)
+
+    names = (
+        points.filter(F.col(zip_code).isNotNull())
+        .groupingSets([[zip_code, city], [zip_code, state]], zip_code, city, state)
         .agg(
-            mean("lat"),
-            mean("lng"),
-            F.mode("geolocation_city", True).alias("city"),
-            F.mode("geolocation_state", True).alias("state"),
+            by_city.alias("by_city"),
+            F.count(F.lit(1)).alias("n"),
+            *[total(axis) for axis in ("lat", "lng")],
+            *[F.count(f"geolocation_{axis}").alias(f"{axis}_n") for axis in ("lat", "lng")],
         )
     )
 
+    def most_frequent(name: str) -> Column:
+        return F.min(F.when(F.col(name).isNotNull(), F.struct(-F.col("n"), name)))[name]
+
+    def mean(axis: str) -> Column:
+        # every point once: from the rows by city
+        points_of, n = (F.sum(F.when(F.col("by_city"), F.col(c))) for c in (axis, f"{axis}_n"))
+        exact = F.try_divide(points_of.cast("decimal(38,14)"), n.cast("decimal(20,0)"))
+        return F.round(exact, 6).cast(POINT).alias(axis)
+
+    return names.groupBy(F.col(zip_code).alias("zip_code_prefix")).agg(
+        mean("lat"),
+        mean("lng"),
+        most_frequent(city).alias("city"),
+        most_frequent(state).alias("state"),
+    )
+
 
 def apply_types(text: DataFrame, table: str) -> DataFrame:
     """The table's declared columns, by name and in order, in their declared types."""

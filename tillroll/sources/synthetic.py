@@ -6,6 +6,7 @@ the source rows, so an independent SQL engine can derive the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,7 +165,10 @@ def _reviews(lines: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_partkey") % 5 + 1).alias("review_score"),
         F.when(F.col("l_partkey") % 11 == 0, F.col("l_returnflag")).alias("review_comment_title"),
-        F.lit(None).alias("review_comment_message"),
+        F.when(
+            F.col("l_partkey") % 13 == 0,
+            F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(' is "fine",\nsaid the buyer, twice')),
+        ).alias("review_comment_message"),
         F.col("l_shipdate").alias("review_creation_date"),
         F.date_add("l_shipdate", 1).alias("review_answer_timestamp"),
     )
@@ -183,11 +187,18 @@ def raw_products(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_raw_csv(spark: SparkSession, root: str, target: str) -> None:
-    """The nine tables as raw CSV files, points and products in their raw form."""
-    raw = dict(bind(spark, root).items())
-    raw["products"] = raw_products(spark, root)
-    raw["geolocation"] = raw_points(source(spark, root, "events"))
+def write_raw_csv(
+    spark: SparkSession, root: str, target: str, tables: Collection[str] = tuple(TABLES)
+) -> None:
+    """The tables as raw CSV files, points and products in their raw form, and reviews
+    with a word for a missing title."""
+    raw = {name: df for name, df in bind(spark, root).items() if name in tables}
+    if "products" in raw:
+        raw["products"] = raw_products(spark, root)
+    if "geolocation" in raw:
+        raw["geolocation"] = raw_points(source(spark, root, "events"))
+    if "order_reviews" in raw:
+        raw["order_reviews"] = raw["order_reviews"].fillna("NULL", "review_comment_title")
     for name, df in raw.items():
         text = df.select(*[F.col(c).cast("string") for c in df.columns])
         text.write.csv(f"{target}/{RAW_FILES[name]}", header=True, quote='"', escape='"')

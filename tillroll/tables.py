@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tillroll.schema import TABLES
+from tillroll.scope import MONTH_COLUMN
 
 
 class RetailTables:
@@ -27,8 +29,16 @@ class RetailTables:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> RetailTables:
-        """Open tables written by `sources.store.load_tables`."""
-        return cls(lambda name: spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}"))
+        """Open tables written by `sources.store.load_tables`; orders come with the
+        purchase month that they are laid out by."""
+
+        def open_table(name: str) -> DataFrame:
+            schema = TABLES[name].schema
+            if name == "orders":
+                schema = StructType([*schema.fields, StructField(MONTH_COLUMN, DateType())])
+            return spark.read.schema(schema).parquet(f"{root}/{name}")
+
+        return cls(open_table)
 
     def register(self, prefix: str = "") -> None:
         """Make the tables queryable by name through `spark.sql`."""
