@@ -12,10 +12,12 @@ are set for each size octave so that a pair at the threshold has no common key w
 probability below 2^-60, no more than two 64-bit hashes that collide. A set's group is its
 least key that any other set shares. Sets without a shared key have no partner at all.
 
-Links inside groups come first (groups over MAX_GROUP sets are cut into parts that all
-hold one pivot, the group's first set), then links between groups, only for keys at which
-different components still meet. Sets that are connected already are not compared again,
-so a group of near copies costs about one comparison each. No list of pairs is built.
+Links inside groups come first; groups over MAX_GROUP sets are cut into parts that all
+hold one pivot, the group's first set. Then the matrix of keys and sets tells where different
+components still meet: the sets of such a key are opened as a group, with the sets outside
+its largest component as queries. Sets that are connected already are not compared
+again, so a group of near copies costs about one comparison each, and no list of pairs
+is built.
 
 Null and empty texts have an empty set and are linked with nothing; a null doc_id has a
 null component. Fewer words than a shingle make one shingle. Rows are nodes by their
@@ -296,16 +298,20 @@ def links_inside(ids: np.ndarray, sets: list[np.ndarray], how: Similarity) -> li
 
 
 def links_across(
-    ids: np.ndarray, sets: list[np.ndarray], queries: list[tuple], how: Similarity
-) -> list[tuple]:
-    """Links of query sets with the members of a group; the bound decides if it is opened."""
+    ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], queries: list[tuple],
+    how: Similarity,
+) -> list[tuple]:
+    """Links of query sets with the members of a group, one for each component that is not
+    the query's own. The bound on the overlap decides if the group is opened."""
     group, links = Group(sets), []
-    for query, tokens in queries:
+    for query, component, tokens in queries:
         places = group.in_union(tokens)
         if len(places) < how.least_shared(len(tokens)):
             continue
-        near = how.linked(group.shared(places), group.sizes, len(tokens))
-        links.extend((query, ids[j]) for j in np.flatnonzero(near))
+        near = np.flatnonzero(how.linked(group.shared(places), group.sizes, len(tokens)))
+        near = near[components[near] != component]
+        _, first = np.unique(components[near], return_index=True)
+        links.extend((query, ids[j]) for j in near[first])
     return links
 
 
@@ -313,11 +319,14 @@ LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 LINKS_SQL = "u long, v long"
 
 
-def _joined_groups(rows: DataFrame, bins: int, how: Similarity) -> DataFrame:
-    """Links (u, v) from rows (gid, part, rep, query, set), a bin of groups at a time."""
+def _compared(rows: DataFrame, bins: int, how: Similarity) -> DataFrame:
+    """Links (u, v) from rows (gid, part, rep, component, query, set), a bin of groups at a
+    time. A group without queries is searched for all links inside."""
 
     def compare(table: pa.Table) -> pa.Table:
-        gid, part, rep = (table[c].to_numpy() for c in ("gid", "part", "rep"))
+        gid, part, rep, component = (
+            table[c].to_numpy() for c in ("gid", "part", "rep", "component")
+        )
         query = table["query"].to_numpy(zero_copy_only=False)
         tokens, counts = unpack_keys(table["set"])
         starts = np.cumsum(counts) - counts
@@ -328,8 +337,11 @@ def _joined_groups(rows: DataFrame, bins: int, how: Similarity) -> DataFrame:
             members, asking = rows[~query[rows]], rows[query[rows]]
             sets = [tokens[starts[i] : starts[i] + counts[i]] for i in members]
             if len(asking) and len(members):
-                wanted = [(rep[i], tokens[starts[i] : starts[i] + counts[i]]) for i in asking]
-                links.extend(links_across(rep[members], sets, wanted, how))
+                wanted = [
+                    (rep[i], component[i], tokens[starts[i] : starts[i] + counts[i]])
+                    for i in asking
+                ]
+                links.extend(links_across(rep[members], component[members], sets, wanted, how))
             elif len(members) > 1:
                 links.extend(links_inside(rep[members], sets, how))
         columns = list(zip(*links)) or [(), ()]
@@ -387,56 +399,70 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
     shared = written(_shared_keys(reps, Deal(parts, parts)), "shared-keys")
     sizes = shared.groupBy("gid").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"))
     cut = F.ceil(F.col("members") / MAX_GROUP)
-    placed = (
-        _candidate_sets(docs, shared, how)
-        .join(sizes, "gid")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), cut).cast("int"))
-    )
-    sets = written(placed.select("rep", "gid", "part", "set", cut.alias("cut"), "pivot"), "token-sets")
+    placed = _candidate_sets(docs, shared, how).join(sizes, "gid")
+    sets = written(placed.select("rep", "gid", "set", cut.alias("cut"), "pivot"), "token-sets")
     weight = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
     bins = 1 + weight // BIN_BYTES
-    columns = ["gid", "part", "rep", "query", "set"]
-    member = sets.withColumn("query", F.lit(False))
-    other_parts = F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
+
+    columns = ["gid", "part", "rep", "component", "query", "set"]
+    part = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
+    member = sets.select("*", part.alias("part"), F.col("rep").alias("component"),
+                         F.lit(False).alias("query"))
+    every_part = F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
     pivots = (
         member.where("rep = pivot AND cut > 1")
-        .withColumn("own", F.col("part"))
-        .withColumn("part", other_parts)
+        .withColumnRenamed("part", "own")
+        .withColumn("part", every_part)
         .where("part <> own")
     )
     inside = member.select(*columns).unionByName(pivots.select(*columns))
-    links = written(_joined_groups(inside, bins, how), "links-inside")
+    links = written(_compared(inside, bins, how), "links-inside")
+    across = _compared(_meetings(shared, sets, components(links), columns), bins, how)
+    return rows, written(links.unionByName(across).unionByName(same_id), "links")
+
 
-    # Keys at which different components meet: their groups' rows of the matrix.
-    known = components(links)
-    named = sets.select("rep", "gid", "part").join(
-        known.withColumnRenamed("node", "rep"), "rep", "left"
+def _meetings(
+    shared: DataFrame, sets: DataFrame, known: DataFrame, columns: list[str]
+) -> DataFrame:
+    """Rows to compare where different components meet at a key.
+
+    All sets of the key are the members of a group, in parts of MAX_GROUP or fewer. Those
+    outside the group's largest component are its queries, to all parts; members of that
+    component are connected already. Keys with the same sets are one group."""
+    named = known.withColumnRenamed("node", "rep")
+    by_key = shared.select("rep", F.explode("keys").alias("gid")).join(named, "rep", "left")
+    by_key = written(by_key.withColumn("component", F.coalesce("component", "rep")), "matrix")
+    meeting = (
+        by_key.groupBy("gid", "component")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("reps"),
+        )
+        .groupBy("gid")
+        .agg(
+            F.count("*").alias("components"),
+            F.sum("n").alias("members"),
+            F.sum("reps").alias("reps"),
+            F.max(F.struct("n", "component")).alias("largest"),
+        )
+        .where("components > 1")
+        .groupBy("members", "reps")
+        .agg(F.min(F.struct("gid", "largest")).alias("first"))
+        .select(
+            "first.gid",
+            F.col("first.largest.component").alias("main"),
+            F.ceil(F.col("members") / MAX_GROUP).alias("cut"),
+        )
     )
-    named = named.withColumn("component", F.coalesce("component", "rep"))
-    by_key = shared.select("rep", F.explode("keys").alias("key")).join(named, "rep")
-    by_key = written(by_key, "matrix")
-    open_ = (
-        by_key.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("key")
+    member = by_key.join(meeting, "gid").withColumn(
+        "part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
     )
-    meeting = by_key.join(open_, "key")
-    groups = meeting.select(
-        "key", F.col("gid").alias("g"), F.col("part").alias("p"), F.col("component").alias("c")
-    ).distinct()
-    ask = (
-        meeting.join(groups, "key")
-        .where("component <> c AND (g < gid OR (g = gid AND p < part))")
-        .select("rep", F.col("g").alias("gid"), F.col("p").alias("part"))
-        .distinct()
+    every_part = F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
+    asking = member.where("component <> main").drop("part").withColumn("part", every_part)
+    placed = member.withColumn("query", F.lit(False)).unionByName(
+        asking.withColumn("query", F.lit(True))
     )
-    ask = written(ask, "queries")
-    asking = ask.join(sets.select("rep", "set"), "rep").withColumn("query", F.lit(True))
-    asked = member.join(ask.select("gid", "part").distinct(), ["gid", "part"], "left_semi")
-    both = asked.select(*columns).unionByName(asking.select(*columns))
-    across = _joined_groups(both, bins, how)
-    return rows, written(links.unionByName(across).unionByName(same_id), "links")
+    return placed.join(sets.select("rep", "set"), "rep").select(*columns)
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
