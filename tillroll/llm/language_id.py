@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import written
 from .text import mix
 
 GRAMS = (3, 4)
@@ -179,11 +180,12 @@ def train(labelled: DataFrame, max_texts: int = MAX_TEXTS, max_grams: int = MAX_
                         schema=schema,
                     )
 
-    counted = (
+    counted = written(
         chosen.select(number[F.col("lang")].alias("lang"), "text")
         .mapInArrow(count, "lang int, gram long, n long")
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "language-grams",
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
