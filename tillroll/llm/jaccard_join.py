@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .components import components
 from .exchange import KEY_ROWS_SQL, Deal, repeated_keys, send_keys, unpack_keys
 from .session import fresh_name, written
@@ -369,7 +370,9 @@ def _candidate_sets(docs: DataFrame, shared: DataFrame, how: Similarity) -> Data
                 yield whole.filter(pa.array(same))
 
     wanted = shared.select("rep", "gid", "d1", "d2")
+    candidate = bloom.among(shared.select("rep"))  # spares the other texts the shuffle
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = texts.where(candidate(F.col("rep")))
     return texts.join(wanted, "rep").mapInArrow(tokens, "rep long, gid long, set binary")
 
 
@@ -477,7 +480,9 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """One document of each component, the one with the least doc_id; all columns as they
     were. Documents without words, and rows without a doc_id, stay."""
-    found = near_duplicates(docs, how)
+    found = near_duplicates(docs, how).where("doc_id <> component_id")
     name = fresh_name(docs, "copy")
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(copies, docs["doc_id"] == copies[name], "left_anti")
+    copies = written(found.select(F.col("doc_id").alias(name)).distinct(), "copies")
+    maybe = bloom.among(copies)(F.col("doc_id"))  # the others need no comparison
+    checked = docs.where(maybe).join(copies, docs["doc_id"] == copies[name], "left_anti")
+    return docs.where(~maybe).unionByName(checked)

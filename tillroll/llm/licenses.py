@@ -4,12 +4,12 @@ Words are lower-cased letters and digits, shingles are SHINGLE words. Templates
 levels by size: level k has 2^(k-1) + 1 .. 2^k shingles. For each level every text is cut into
 windows of 1.5 * 2^k shingles that start every 2^(k-1) shingles, so that a whole copy of a
 template lies in one window, whatever its place. A window and a template are compared by
-BANDS minima of independent hashes, one row to a band: any equal minimum retrieves the
-template. A copy with a share c >= 0.8 of a template's shingles has at least the similarity
-c * 0.5 / (1.5 + (1 - c) * 0.5) = 0.25 with its window, so it is retrieved with a probability of
-at least 1 - 0.75^48 = 0.999999; see `least_similarity` and `collision_probability`. A window
-of one whole template at level 0 is retrieved always. What is retrieved is verified by the
-exact share of the template's shingles that the window has.
+the minima of independent hashes, one row to a band: any equal minimum retrieves the
+template. A copy with 0.8 of a template's shingles has at least `least_similarity` with its
+window, and a level has as many bands as it takes to miss such a copy with a probability
+below MISSED, one in a million (about 13 bands for the shortest, 48 for the longest). A
+window of one shingle is retrieved always. What is retrieved is verified by the exact
+share of the template's shingles that the window has.
 
 The templates are a fixed, small table. One arrow_udf reads each whole text; nothing is
 shuffled. A null, empty or very short text has no shingles and no license. Equal rows get
@@ -18,6 +18,7 @@ equal results; other columns pass through; an empty table stays empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .text import NOT_ALNUM, chunks, mix, window_hashes
 
 SHINGLE = 5
-BANDS = 48
 MIN_SHARE = 0.8
+MISSED = 1e-6
 
 # Public license notices and the opening clauses of license texts.
 TEMPLATES = (
@@ -60,17 +61,19 @@ TEMPLATES = (
 )
 
 
-def least_similarity(share: float = MIN_SHARE) -> float:
-    """Of a template's shingles and a window with this share of them, at the worst size."""
-    return share * 0.5 / (1.5 + (1 - share) * 0.5)
+def least_similarity(size: int, window: int, share: float = MIN_SHARE) -> float:
+    """Of a window and a template of so many shingles with this share of them in it."""
+    shared = -(-share * size // 1)
+    return shared / (window + size - shared)
 
 
-def collision_probability(share: float = MIN_SHARE, bands: int = BANDS) -> float:
-    return 1 - (1 - least_similarity(share)) ** bands
+def bands_for(similarity: float) -> int:
+    """Bands of one minimum each that miss a pair with a probability below MISSED."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log(1 - similarity))
 
 
-def _minimum_seeds() -> np.ndarray:
-    return mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _seed(band: int) -> np.uint64:
+    return mix(np.array([band + 1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
 
 
 def _hashed(shingles: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -80,11 +83,11 @@ def _hashed(shingles: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Templates of one size level, with the minima to find them by."""
+    """Templates of one size level, with the minima to find them by, a band each."""
 
     size: int  # 2^k shingles
     templates: list[int]
-    minima: list[tuple[np.ndarray, np.ndarray]]  # for each band: sorted minima, their templates
+    minima: list[np.ndarray]  # for each band, the templates' least values
 
     @property
     def stride(self) -> int:
@@ -121,12 +124,13 @@ def build_library(templates: Sequence[tuple[str, str]]) -> Library:
     exponents = [int(np.ceil(np.log2(len(s)))) for s in found]
     for k in sorted(set(exponents)):
         chosen = [i for i, e in enumerate(exponents) if e == k]
-        minima = []
-        for seed in _minimum_seeds():
-            least = np.array([_hashed(found[i], seed).min() for i in chosen], dtype=np.uint64)
-            order = np.argsort(least)
-            minima.append((least[order], np.array(chosen)[order]))
-        levels.append(Level(1 << k, chosen, minima))
+        level = Level(1 << k, chosen, [])
+        window = level.stride * level.blocks
+        least = min(least_similarity(len(found[i]), window) for i in chosen)
+        for band in range(bands_for(least)):
+            seed = _seed(band)
+            level.minima.append(np.array([_hashed(found[i], seed).min() for i in chosen]))
+        levels.append(level)
     return Library(names, found, levels)
 
 
@@ -135,38 +139,63 @@ def _library(templates: tuple) -> Library:
     return build_library(templates)
 
 
-def _windows(level: Level, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First shingle of each block of one stride, its text, and the number of blocks that
-    follow in the text: blocks of a text are disjoint, windows are runs of them."""
-    counts = np.diff(bounds)
-    blocks = -(-counts // level.stride)
-    text = np.repeat(np.arange(len(counts)), blocks)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    return bounds[text] + number * level.stride, text, np.repeat(blocks, blocks) - number
-
-
-def _retrieve(level: Level, shingles: np.ndarray, bounds: np.ndarray):
-    """(first shingle, end, text, template) of windows with a minimum in common."""
-    starts, text, left = _windows(level, bounds)
-    if not len(starts):
-        return np.zeros((4, 0), dtype=np.int64)
-    ends = np.minimum(starts + level.stride * level.blocks, bounds[text + 1])
-    hits = []
-    for seed, (least, templates) in zip(_minimum_seeds(), level.minima):
-        minima = np.minimum.reduceat(_hashed(shingles, seed), starts)
-        window = minima.copy()
-        for step in range(1, level.blocks):
-            inside = np.flatnonzero(left > step)
-            window[inside] = np.minimum(window[inside], minima[inside + step])
-        low = np.searchsorted(least, window, side="left")
-        high = np.searchsorted(least, window, side="right")
-        for i in np.flatnonzero(high > low):
-            hits.extend((i, t) for t in templates[low[i] : high[i]])
-    if not hits:
-        return np.zeros((4, 0), dtype=np.int64)
-    pairs = np.unique(np.array(hits, dtype=np.int64), axis=0)
-    at = pairs[:, 0]
-    return np.stack([starts[at], ends[at], text[at], pairs[:, 1]])
+@dataclass
+class Blocks:
+    """The shingles of some texts in disjoint blocks of one stride; a window is a run of
+    `level.blocks` of them in one text."""
+
+    level: Level
+    starts: np.ndarray  # first shingle of each block
+    text: np.ndarray
+    finer: np.ndarray  # first block of the next finer stride
+
+    @staticmethod
+    def cut(level: Level, bounds: np.ndarray, finer: Blocks | None) -> Blocks:
+        counts = -(-np.diff(bounds) // level.stride)
+        text = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = bounds[text] + number * level.stride
+        below = starts if finer is None else np.searchsorted(finer.starts, starts)
+        return Blocks(level, starts, text, below)
+
+    def windows(self, minima: np.ndarray) -> np.ndarray:
+        """Least value of each window, from those of its blocks. At the end of a text a window
+        takes in blocks of the next one; that retrieves more, and is verified without them."""
+        found = minima.copy()
+        for step in range(1, self.level.blocks):
+            np.minimum(found[:-step], minima[step:], out=found[:-step])
+        return found
+
+
+def _retrieve(levels: list[Level], shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(first shingle, end, text, template) of windows with a minimum in common.
+
+    For each band the minima of finer blocks give those of coarser ones."""
+    if not len(shingles):
+        return np.zeros((0, 4), dtype=np.int64)
+    cuts: list[Blocks] = []
+    for level in levels:
+        cuts.append(Blocks.cut(level, bounds, cuts[-1] if cuts else None))
+    hits: list[list[np.ndarray]] = [[] for _ in levels]
+    for band in range(max(len(level.minima) for level in levels)):
+        minima = _hashed(shingles, _seed(band))
+        for i, blocks in enumerate(cuts):
+            if blocks.level.stride > 1:
+                minima = np.minimum.reduceat(minima, blocks.finer)
+            if band < len(blocks.level.minima):
+                window = blocks.windows(minima)
+                for template, least in zip(blocks.level.templates, blocks.level.minima[band]):
+                    at = np.flatnonzero(window == least)
+                    hits[i].append(np.stack([at, np.full(len(at), template)], axis=1))
+    found = []
+    for blocks, pairs in zip(cuts, hits):
+        if pairs:
+            at, template = np.unique(np.concatenate(pairs), axis=0).T
+            text = blocks.text[at]
+            ends = blocks.starts[at] + blocks.level.stride * blocks.level.blocks
+            ends = np.minimum(ends, bounds[text + 1])
+            found.append(np.stack([blocks.starts[at], ends, text, template], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 4), dtype=np.int64)
 
 
 MATCH = pa.struct(
@@ -184,15 +213,14 @@ def _scan(texts: pa.Array, library: Library, min_share: float) -> pa.Array:
         shingles = window_hashes(lowered.hashes(words), starts, SHINGLE)
         bounds = np.searchsorted(starts, words.bounds)
         best: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(chunk))]
-        for level in library.levels:
-            for start, end, text, template in _retrieve(level, shingles, bounds).T:
-                wanted, window = library.shingles[template], shingles[start:end]
-                hit = np.isin(window, wanted)
-                share = len(np.unique(window[hit])) / len(wanted)
-                name = library.names[template]
-                if share >= min_share and share > best[text].get(name, (0.0, 0))[0]:
-                    first = starts[start + int(hit.argmax())] - words.bounds[text]
-                    best[text][name] = (share, int(first))
+        for start, end, text, template in _retrieve(library.levels, shingles, bounds):
+            wanted, window = library.shingles[template], shingles[start:end]
+            hit = np.isin(window, wanted)
+            share = len(np.unique(window[hit])) / len(wanted)
+            name = library.names[template]
+            if share >= min_share and share > best[text].get(name, (0.0, 0))[0]:
+                first = starts[start + int(hit.argmax())] - words.bounds[text]
+                best[text][name] = (share, int(first))
         out.extend(
             [
                 {"license": name, "share": share, "first_word": first}

@@ -1,10 +1,8 @@
 """Line dedup with two Bloom filters.
 
-Pass 1: each task keeps two Bloom filters of one geometry over the line keys it reads,
-one of keys seen at least once and one of keys seen at least twice. Tasks hand over their
-filters in compressed slices; merging two tasks is once = a.once | b.once and
-twice = a.twice | b.twice | (a.once & b.once). The merged twice-seen filter has a fixed
-greatest size and is broadcast.
+Pass 1: each task fills two Bloom filters of one geometry with the line keys it reads, one
+of keys seen at least once and one of keys seen at least twice, and the tasks' filters are
+merged (see `bloom`). The merged twice-seen filter has a greatest size and is broadcast.
 Pass 2: only lines that hit it, suspected repeats, are shuffled, as 128-bit hashes. An
 exact count of documents per key confirms them and finds the document that keeps them.
 Pass 3: each document loses its confirmed lines.
@@ -16,20 +14,15 @@ share a doc_id count as one document; rows without a doc_id are left as they are
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .session import fresh_name, written
 from .text import CONTINUATION, LOWER, WHITE, Chunk, Words, chunks
 
-SLICE_BITS = 1 << 20
-BITS_PER_LINE = 16
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29  # the largest filter is 64 MB
 KEYS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
 
@@ -51,87 +44,16 @@ def _keys(chunk: Chunk, min_chars: int) -> tuple[Words, np.ndarray, np.ndarray,
     return lines, long_enough, lowered.hashes(spans, 0), lowered.hashes(spans, 1)
 
 
-def _bits(k1: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bit positions of each key."""
-    mask = np.uint64(bits - 1)
-    return (k1 & mask).astype(np.int64), ((k1 >> np.uint64(32)) & mask).astype(np.int64)
-
-
-class Seen:
-    """Once-seen and twice-seen filters, one byte per bit while a task fills them."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once, self.twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        a, b = _bits(keys, self.bits)
-        again = (counts > 1) | (self.once[a] & self.once[b])
-        self.once[a] = self.once[b] = True
-        self.twice[a[again]] = self.twice[b[again]] = True
-
-    def slices(self) -> Iterator[tuple[int, bytes, bytes]]:
-        for i in range(0, self.bits, SLICE_BITS):
-            once = self.once[i : i + SLICE_BITS]
-            if once.any():
-                yield (
-                    i // SLICE_BITS,
-                    zlib.compress(np.packbits(once).tobytes(), 1),
-                    zlib.compress(np.packbits(self.twice[i : i + SLICE_BITS]).tobytes(), 1),
-                )
-
-
-FILTER_ROWS = pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-FILTER_SQL = "slice int, once binary, twice binary"
-
-
-def _filter_rows(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, FILTER_ROWS)], schema=FILTER_ROWS
-    )
-
-
 def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The packed filter of keys that two documents, or more, seem to share."""
 
-    def build(batches):
-        seen = Seen(bits)
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                lines, long_enough, k1, _ = _keys(chunk, min_chars)
-                pairs = np.unique(
-                    np.stack([lines.text_of[long_enough].astype(np.uint64), k1[long_enough]]),
-                    axis=1,
-                )
-                seen.add(pairs[1])
-        for row in seen.slices():
-            yield _filter_rows([row])
-
-    def merge(batches):
-        whole: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                once, twice = (
-                    np.frombuffer(zlib.decompress(row[c]), dtype=np.uint8) for c in ("once", "twice")
-                )
-                if row["slice"] in whole:
-                    old = whole[row["slice"]]
-                    old[1] |= twice | (old[0] & once)
-                    old[0] |= once
-                else:
-                    whole[row["slice"]] = [once.copy(), twice.copy()]
-        for number, (once, twice) in whole.items():
-            yield _filter_rows([(number, b"", zlib.compress(twice.tobytes(), 1))])
-
-    parts = docs.select("text").mapInArrow(build, FILTER_SQL)
-    merged = parts.repartition("slice").mapInArrow(merge, FILTER_SQL)
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.select("slice", "twice").toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row.twice), dtype=np.uint8)
-        packed[row.slice * (SLICE_BITS // 8) :][: len(part)] = part
-    return packed
+    def keys_of(batch):
+        for chunk in chunks(batch.column(0)):
+            lines, long_enough, k1, _ = _keys(chunk, min_chars)
+            of_text = np.stack([lines.text_of[long_enough].astype(np.uint64), k1[long_enough]])
+            yield np.unique(of_text, axis=1)[1]
+
+    return bloom.build(docs.select("text"), keys_of, bits, twice=True)
 
 
 def filter_bits(docs: DataFrame) -> int:
@@ -139,7 +61,7 @@ def filter_bits(docs: DataFrame) -> int:
     lines through to the exact count, which is right for any number of them."""
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
     n = docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
-    return min(max(1 << (BITS_PER_LINE * n).bit_length(), MIN_BITS), MAX_BITS)
+    return bloom.size_for(n)
 
 
 def repeated_lines(
@@ -156,10 +78,7 @@ def repeated_lines(
             ids = batch.column(0)
             for chunk in chunks(batch.column(1)):
                 lines, long_enough, k1, k2 = _keys(chunk, min_chars)
-                a, b = _bits(k1, bits)
-                hit = long_enough.copy()
-                for at in (a, b):
-                    hit &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                hit = long_enough & bloom.contains(packed, k1)
                 if hit.any():
                     rows = np.unique(
                         np.stack([lines.text_of[hit].astype(np.uint64), k1[hit], k2[hit]]), axis=1
