@@ -53,6 +53,7 @@ def corpus(rng):
 @pytest.mark.parametrize("ngram,percent", [(4, 85), (5, 80)])
 def test_jaccard_components(spark, monkeypatch, max_group, ngram, percent):
     monkeypatch.setattr(jaccard_join, "MAX_GROUP", max_group)
+    monkeypatch.setattr(jaccard_join, "MAX_FAMILY", 2_048 if max_group > 8 else 3)
     texts = corpus(random.Random(max_group + ngram))
     how = jaccard_join.Similarity(ngram, percent)
     got = jaccard_join.near_duplicates(frame(spark, texts), how).collect()

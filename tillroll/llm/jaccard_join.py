@@ -14,10 +14,10 @@ least key that any other set shares. Sets without a shared key have no partner a
 
 Links inside groups come first; groups over MAX_GROUP sets are cut into parts that all
 hold one pivot, the group's first set. Then the matrix of keys and sets tells where different
-components still meet: the sets of such a key are opened as a group, with the sets outside
-its largest component as queries. Sets that are connected already are not compared
-again, so a group of near copies costs about one comparison each, and no list of pairs
-is built.
+components still meet: the sets that such keys connect are opened as one group, and those
+outside its largest component are its queries. Sets that are connected already are not
+compared again, so a group of near copies costs about one comparison each, and no list of
+pairs is built.
 
 Null and empty texts have an empty set and are linked with nothing; a null doc_id has a
 null component. Fewer words than a shingle make one shingle. Rows are nodes by their
@@ -42,6 +42,7 @@ from .session import fresh_name, written
 from .text import Chunk, chunks, mix, ranges, window_hashes
 
 MAX_GROUP = 512
+MAX_FAMILY = 2_048
 BIN_BYTES = 16 << 20
 LOST = 2.0**-60
 
@@ -316,26 +317,41 @@ def links_across(
     return links
 
 
+def links_between(
+    ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], how: Similarity
+) -> list[tuple]:
+    """Links between the components of one group: the sets outside the largest component
+    are compared with all others."""
+    names, of, counts = np.unique(components, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(of != counts.argmax())
+    queries = [(ids[i], components[i], sets[i]) for i in asking]
+    return links_across(ids, components, sets, queries, how) if len(names) > 1 else []
+
+
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 LINKS_SQL = "u long, v long"
 
 
-def _compared(rows: DataFrame, bins: int, how: Similarity) -> DataFrame:
-    """Links (u, v) from rows (gid, part, rep, component, query, set), a bin of groups at a
-    time. A group without queries is searched for all links inside."""
+def _compared(rows: DataFrame, how: Similarity) -> DataFrame:
+    """Links (u, v) from the groups of stored rows (gid, part, rep, component, query, set), a
+    bin of groups at a time. Queries are compared with the group's members; without
+    queries, the group's components with each other; without components (all null), all
+    sets."""
+    weight = rows.agg(F.sum(F.octet_length("set"))).first()[0] or 0
+    bins = 1 + weight // BIN_BYTES
 
     def compare(table: pa.Table) -> pa.Table:
-        gid, part, rep, component = (
-            table[c].to_numpy() for c in ("gid", "part", "rep", "component")
-        )
+        gid, part, rep = (table[c].to_numpy() for c in ("gid", "part", "rep"))
+        component = table["component"].to_numpy()
+        known = table["component"].null_count == 0
         query = table["query"].to_numpy(zero_copy_only=False)
         tokens, counts = unpack_keys(table["set"])
         starts = np.cumsum(counts) - counts
         order = np.lexsort((rep, counts, query, part, gid))
         cuts = np.flatnonzero(np.diff(gid[order]) | np.diff(part[order])) + 1
         links: list[tuple] = []
-        for rows in np.split(order, cuts):
-            members, asking = rows[~query[rows]], rows[query[rows]]
+        for group in np.split(order, cuts):
+            members, asking = group[~query[group]], group[query[group]]
             sets = [tokens[starts[i] : starts[i] + counts[i]] for i in members]
             if len(asking) and len(members):
                 wanted = [
@@ -343,6 +359,8 @@ def _compared(rows: DataFrame, bins: int, how: Similarity) -> DataFrame:
                     for i in asking
                 ]
                 links.extend(links_across(rep[members], component[members], sets, wanted, how))
+            elif len(members) > 1 and known:
+                links.extend(links_between(rep[members], component[members], sets, how))
             elif len(members) > 1:
                 links.extend(links_inside(rep[members], sets, how))
         columns = list(zip(*links)) or [(), ()]
@@ -404,66 +422,80 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
     cut = F.ceil(F.col("members") / MAX_GROUP)
     placed = _candidate_sets(docs, shared, how).join(sizes, "gid")
     sets = written(placed.select("rep", "gid", "set", cut.alias("cut"), "pivot"), "token-sets")
-    weight = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
-    bins = 1 + weight // BIN_BYTES
-
     columns = ["gid", "part", "rep", "component", "query", "set"]
     part = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
-    member = sets.select("*", part.alias("part"), F.col("rep").alias("component"),
-                         F.lit(False).alias("query"))
-    every_part = F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
+    member = sets.withColumns(
+        {"part": part, "component": F.lit(None).cast("long"), "query": F.lit(False)}
+    )
     pivots = (
         member.where("rep = pivot AND cut > 1")
         .withColumnRenamed("part", "own")
-        .withColumn("part", every_part)
+        .withColumn("part", _every_part())
         .where("part <> own")
     )
     inside = member.select(*columns).unionByName(pivots.select(*columns))
-    links = written(_compared(inside, bins, how), "links-inside")
-    across = _compared(_meetings(shared, sets, components(links), columns), bins, how)
-    return rows, written(links.unionByName(across).unionByName(same_id), "links")
+    links = written(_compared(inside, how), "links-inside")
+    meeting = written(_meetings(shared, sets, components(links), columns), "meetings")
+    return rows, written(
+        links.unionByName(_compared(meeting, how)).unionByName(same_id), "links"
+    )
+
+
+def _every_part():
+    return F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
 
 
 def _meetings(
     shared: DataFrame, sets: DataFrame, known: DataFrame, columns: list[str]
 ) -> DataFrame:
-    """Rows to compare where different components meet at a key.
+    """Rows to compare where different components still meet at a key.
 
-    All sets of the key are the members of a group, in parts of MAX_GROUP or fewer. Those
-    outside the group's largest component are its queries, to all parts; members of that
-    component are connected already. Keys with the same sets are one group."""
+    Sets connected by such keys are a family, and a family is one group: each of its sets
+    moves once. A family of more than MAX_FAMILY sets is taken key by key instead: the sets
+    of a key are a group, in parts of MAX_GROUP or fewer, and those outside its largest
+    component are its queries, to all parts."""
     named = known.withColumnRenamed("node", "rep")
     by_key = shared.select("rep", F.explode("keys").alias("gid")).join(named, "rep", "left")
     by_key = written(by_key.withColumn("component", F.coalesce("component", "rep")), "matrix")
     meeting = (
         by_key.groupBy("gid", "component")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("reps"),
-        )
+        .agg(F.count("*").alias("n"), F.min("rep").alias("least"))
         .groupBy("gid")
         .agg(
             F.count("*").alias("components"),
             F.sum("n").alias("members"),
-            F.sum("reps").alias("reps"),
+            F.min("least").alias("least"),
             F.max(F.struct("n", "component")).alias("largest"),
         )
         .where("components > 1")
-        .groupBy("members", "reps")
-        .agg(F.min(F.struct("gid", "largest")).alias("first"))
-        .select(
-            "first.gid",
-            F.col("first.largest.component").alias("main"),
-            F.ceil(F.col("members") / MAX_GROUP).alias("cut"),
-        )
     )
-    member = by_key.join(meeting, "gid").withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
+    open_ = written(
+        by_key.join(meeting, "gid").select(
+            "gid", "rep", "component", "least", "members", F.col("largest.component").alias("main")
+        ),
+        "meeting-keys",
+    )
+    families = components(open_.select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    families = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    reps = open_.select("rep", "component").distinct().join(families, "rep")
+    size = reps.groupBy("family").agg(F.count("*").alias("sets"))
+    sized = written(reps.join(size, "family"), "families")
+    small = sized.where(F.col("sets") <= MAX_FAMILY).select(
+        F.col("family").alias("gid"), F.lit(0).alias("part"), "rep", "component",
+        F.lit(False).alias("query"),
+    )
+    large = sized.where(F.col("sets") > MAX_FAMILY).select("rep")
+    keyed = (
+        open_.join(large, "rep")
+        .withColumn("cut", F.ceil(F.col("members") / MAX_GROUP))
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
     )
-    every_part = F.explode(F.sequence(F.lit(0), (F.col("cut") - 1).cast("int")))
-    asking = member.where("component <> main").drop("part").withColumn("part", every_part)
-    placed = member.withColumn("query", F.lit(False)).unionByName(
-        asking.withColumn("query", F.lit(True))
+    asking = keyed.where("component <> main").drop("part").withColumn("part", _every_part())
+    placed = (
+        keyed.withColumn("query", F.lit(False))
+        .unionByName(asking.withColumn("query", F.lit(True)))
+        .select(*small.columns)
+        .unionByName(small)
     )
     return placed.join(sets.select("rep", "set"), "rep").select(*columns)
 
