@@ -258,7 +258,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def links_inside(ids: np.ndarray, sets: list[np.ndarray], how: Similarity) -> list[tuple]:
-    """Links that connect what is connected within one group."""
+    """Links of every set to the least id of its component within one group."""
     parent = list(range(len(ids)))
 
     def root(i):
@@ -267,12 +267,11 @@ def links_inside(ids: np.ndarray, sets: list[np.ndarray], how: Similarity) -> li
             i = parent[i]
         return i
 
-    group, links, parts = None, [], 0
+    group, parts = None, 0
     newest = -1  # the last set that was linked to another
     for i, tokens in enumerate(sets):
         parts += 1
         if newest >= 0 and how.linked(_overlap(tokens, sets[newest]), len(tokens), len(sets[newest])):
-            links.append((ids[i], ids[newest]))
             parent[i] = root(newest)
             parts -= 1
             newest = i
@@ -292,11 +291,13 @@ def links_inside(ids: np.ndarray, sets: list[np.ndarray], how: Similarity) -> li
             near = near[near < i]
         for j in near:
             if root(int(j)) != root(i):
-                links.append((ids[i], ids[int(j)]))
                 parent[root(i)] = root(int(j))
                 parts -= 1
                 newest = i
-    return links
+    roots = np.array([root(i) for i in range(len(ids))])
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, ids)
+    return [(i, j) for i, j in zip(ids, least[roots]) if i != j]
 
 
 def links_across(
@@ -434,8 +435,10 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
         .where("part <> own")
     )
     inside = member.select(*columns).unionByName(pivots.select(*columns))
+    # A pivot is its group's least set, so a component has one name in all parts that it is in.
     links = written(_compared(inside, how), "links-inside")
-    meeting = written(_meetings(shared, sets, components(links), columns), "meetings")
+    named = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    meeting = written(_meetings(shared, sets, named, columns), "meetings")
     return rows, written(
         links.unionByName(_compared(meeting, how)).unionByName(same_id), "links"
     )
@@ -446,7 +449,7 @@ def _every_part():
 
 
 def _meetings(
-    shared: DataFrame, sets: DataFrame, known: DataFrame, columns: list[str]
+    shared: DataFrame, sets: DataFrame, named: DataFrame, columns: list[str]
 ) -> DataFrame:
     """Rows to compare where different components still meet at a key.
 
@@ -454,7 +457,6 @@ def _meetings(
     moves once. A family of more than MAX_FAMILY sets is taken key by key instead: the sets
     of a key are a group, in parts of MAX_GROUP or fewer, and those outside its largest
     component are its queries, to all parts."""
-    named = known.withColumnRenamed("node", "rep")
     by_key = shared.select("rep", F.explode("keys").alias("gid")).join(named, "rep", "left")
     by_key = written(by_key.withColumn("component", F.coalesce("component", "rep")), "matrix")
     meeting = (
