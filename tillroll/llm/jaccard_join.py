@@ -461,15 +461,24 @@ def _meetings(
     by_key = written(by_key.withColumn("component", F.coalesce("component", "rep")), "matrix")
     meeting = (
         by_key.groupBy("gid", "component")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("least"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min("rep").alias("least"),
+            F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("reps"),
+        )
         .groupBy("gid")
         .agg(
             F.count("*").alias("components"),
             F.sum("n").alias("members"),
+            F.sum("reps").alias("reps"),
             F.min("least").alias("least"),
             F.max(F.struct("n", "component")).alias("largest"),
         )
         .where("components > 1")
+        # keys of the same sets are one group
+        .groupBy("members", "reps", "least")
+        .agg(F.min(F.struct("gid", "largest")).alias("first"))
+        .select("first.gid", "first.largest", "members", "least")
     )
     open_ = written(
         by_key.join(meeting, "gid").select(
