@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -79,6 +80,46 @@ def test_segment_keys_meet_for_every_close_pair():
             assert set(keys[owner == 0]) & set(keys[owner == 1]), n
 
 
+def occupied(balls: int, cells: int) -> list[float]:
+    """Chance that so many cells are hit, by inclusion and exclusion in whole numbers."""
+    return [
+        math.comb(cells, u) * sum((-1) ** j * math.comb(u, j) * (u - j) ** balls for j in range(u + 1))
+        / cells**balls
+        for u in range(cells + 1)
+    ]
+
+
+def lost_exactly(shared: int, differing: int, segments: int) -> float:
+    chances = occupied(differing, segments)
+    return sum(p * (u / segments) ** shared for u, p in enumerate(chances))
+
+
+def test_lost_is_the_occupancy_distribution():
+    for shared, differing, segments in ((6, 1, 5), (28, 4, 20), (109, 19, 20), (185, 32, 39)):
+        exact = lost_exactly(shared, differing, segments)
+        pair = np.array([shared]), np.array([differing])
+        assert jaccard_join.lost(*pair, segments) == pytest.approx(exact, rel=1e-9)
+        assert jaccard_join.lost(*pair, segments, exact=False) >= exact
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_at_the_threshold_are_not_lost(percent):
+    how = jaccard_join.Similarity(percent=percent)
+    for octave in range(2, 9):
+        segments, times = jaccard_join.scheme(octave, percent)
+        for larger in {1 << octave, (3 << octave) // 2, (2 << octave) - 1}:
+            smaller = how.least_shared(larger)  # nested
+            inside = (smaller, larger - smaller)
+            shared = -(-2 * percent * larger // (100 + percent))  # equal sizes
+            for s, d in (inside, (shared, 2 * (larger - shared))):
+                if d:
+                    assert lost_exactly(s, d, segments) ** times <= jaccard_join.LOST, (larger, d)
+    for octave in (10, 11, 12):  # beyond the exact recurrence
+        segments, times = jaccard_join.scheme(octave, percent)
+        pairs = jaccard_join.closest_pairs(octave, percent)
+        assert jaccard_join.lost(*pairs, segments) ** times <= jaccard_join.LOST
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)]

@@ -8,9 +8,10 @@ of its group does too. In opened groups overlaps are counted exactly.
 Which groups a set can meet is found by segment keys. The token space is cut, by a hash,
 into k segments; two sets with J >= t differ in few tokens, so some segments are equal
 in both, and a key of a segment's content is shared. k and the number of repeated cuts
-are set for each size octave so that a pair at the threshold has no common key with a
-probability below 2^-60, no more than two 64-bit hashes that collide. A set's group is its
-least key that any other set shares. Sets without a shared key have no partner at all.
+are set for each size octave, by the distribution of the segments that differing tokens
+touch, so that a pair at the threshold has no common key with a probability below 2^-60, no
+more than two 64-bit hashes that collide. A set's group is its least key that any other set
+shares. Sets without a shared key have no partner at all.
 
 Links inside groups come first; groups over MAX_GROUP sets are cut into parts that all
 hold one pivot, the group's first set. Then the matrix of keys and sets tells where different
@@ -45,6 +46,7 @@ MAX_GROUP = 512
 MAX_FAMILY = 2_048
 BIN_BYTES = 16 << 20
 LOST = 2.0**-60
+EXACT_OCTAVE = 10
 
 
 @dataclass(frozen=True)
@@ -81,25 +83,56 @@ def shingles(chunk: Chunk, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(text, np.arange(len(chunk) + 1))
 
 
-@lru_cache(maxsize=128)
-def scheme(octave: int, percent: int) -> tuple[int, int]:
-    """(segments, repetitions) for sets of 2^octave .. 2^(octave + 1) tokens and partners."""
+def closest_pairs(octave: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, differing) tokens of the pairs at the threshold whose larger set has 2^octave ..
+    2^(octave + 1) - 1 tokens, nested ones included: any union of n tokens with the least share
+    in common. Of those with equally many differing tokens, the one that shares fewest."""
+    largest = 200 * ((2 << octave) - 1) // (100 + percent)
+    unions = np.arange(1 << octave, largest + 1)
+    shared = -(-percent * unions // 100)
+    differing, first = np.unique(unions - shared, return_index=True)
+    return shared[first][differing > 0], differing[differing > 0]
+
+
+def lost(shared: np.ndarray, differing: np.ndarray, segments: int, exact: bool = True) -> float:
+    """The greatest chance, over these pairs (differing ascending), that all shared tokens lie
+    in segments that a differing one touches: E[(touched / segments) ^ shared].
+
+    Exact by the distribution of the touched segments, token after token. Else a bound: with
+    Poisson numbers of tokens segments are independent, and as the chance grows with the
+    differing tokens and falls with the shared ones, it is 2 * 2 times that at most."""
+    if not exact:
+        met = np.exp(-differing / segments) * -np.expm1(-shared / segments)
+        return float(4 * np.exp(segments * np.log1p(-met)).max(initial=0.0))
+    touched = np.arange(segments + 1)
+    hit, miss = touched / segments, 1 - touched[:-1] / segments
+    with np.errstate(divide="ignore"):
+        log_hit = np.log(hit)
+    chance = (touched == 0).astype(float)
+    worst, tokens = 0.0, 0
+    for s, d in zip(shared, differing):
+        for tokens in range(tokens + 1, d + 1):
+            stays = chance * hit
+            stays[1:] += chance[:-1] * miss
+            chance = stays
+        worst = max(worst, float((chance * np.exp(s * log_hit)).sum()))
+    return worst
 
-    def lost(size: int, segments: int) -> float:
-        """A bound on the chance that no shared token lies in an untouched segment."""
-        shared = math.ceil(size * percent / 100)
-        differing = math.floor(size * (100 / percent - 1))
-        untouched = (1 - 1 / segments) ** differing
-        return (1 - untouched) ** shared if untouched < 1 else 0.0
 
+@lru_cache(maxsize=128)
+def scheme(octave: int, percent: int) -> tuple[int, int]:
+    """(segments, repetitions) for pairs whose larger set has 2^octave .. 2^(octave + 1) tokens."""
+    shared, differing = closest_pairs(octave, percent)
     best = None
     for segments in sorted({int(2 * 1.05**i) for i in range(14 * (octave + 3))}):
-        worst = max(lost(n, segments) for n in (1 << octave, (2 << octave) - 1))
+        worst = lost(shared, differing, segments, octave <= EXACT_OCTAVE)
         if worst >= 1:
             continue
         times = math.ceil(math.log(LOST) / math.log(worst)) if worst > 0 else 1
         if best is None or segments * times < best[0]:
             best = (segments * times, segments, times)
+        if times == 1:
+            break  # more segments are more keys
     return best[1], best[2]
 
 
