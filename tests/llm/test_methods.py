@@ -335,6 +335,33 @@ PAGES = {
 }
 
 
+WRAPPED = {
+    **{
+        f"<nav>Home</nav><div {mark}><{main}><h1>T</h1><p>The text.</p></{main}></div>": "T\nThe text."
+        for mark in (
+            "class='content-sidebar-wrap'", "id=page class=no-sidebar", "class=has-banner",
+            "class='article-with-comments'", "class='noSidebar'", "class='sidebar'", "id=overlay",
+        )
+        for main in ("main", "article")
+    },
+    "<article><div class=entry-header><h1>Title</h1></div><div class=legal-analysis><p>a</p></div>"
+    "<div class='notice-period'>b</div></article>": "Title\na\nb",
+    "<article><p>x</p><div class='ad-slot'>buy</div><div class=shareButtons>tell</div>"
+    "<div id='cookie-notice'>ok</div><div class='site-banner'>hey</div><p>y</article>": "x\ny",
+    "<article><p>x</article><div class=related><article><p>other</article></div>": "x",
+    "<div class=overlay><div class=comments><article>me too</article></div><main>x</main></div>": "x",
+    "<div class=overlay><article>x<div class=comments><article>me too</article></div>": "x",
+    "<div class=overlay hidden><main>gone</main></div><main>x</main>": "x",
+    "<div id=page class=has-banner><div class=content><p>" + "word " * 60 + "</p></div></div>":
+        " ".join(["word"] * 60),
+}
+
+
+def test_names_of_wrappers_lose_no_text():
+    for page, text in WRAPPED.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_main_text():
     for page, text in PAGES.items():
         assert html_text.main_text(page) == text, page

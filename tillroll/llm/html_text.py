@@ -44,6 +44,14 @@ SIDE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search form copyright legal disclaimer "
     "comment comments disqus respond reply replies discussion complementary contentinfo".split()
 )
+# Of these, parts that hold the articles of others.
+COMMENTS = frozenset("comment comments disqus respond reply replies discussion".split())
+# Words beside a side word that leave it the name's meaning, and words that change it.
+PLAIN = frozenset(
+    "box wrap wrapper container area block section list item items inner outer slot unit bar "
+    "panel group link links button buttons icon icons post posts article articles".split()
+)
+STATES = frozenset("no not non has have with without and or hide free long".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
@@ -145,28 +153,47 @@ def is_content(tree: Node | bool, features: tuple) -> bool:
     return tree
 
 
-def _marks(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+# How far a block is in a part around the text: in an article inside a part that only its name
+# marks, which counts if the page has other main text; in a part marked by its name; in one
+# marked otherwise, or under comments.
+CLEAR, DOUBTFUL, NAMED, FIRM = range(4)
+
+
+def _side_word(name: str, in_main: bool) -> str | None:
+    """The side word that a class, id or role says it is: the whole name, its last part, or the
+    first beside plain words. A header in the main part is a title, as the element is."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if not parts or not STATES.isdisjoint(parts):
+        return None
+    word = parts[0] if PLAIN.issuperset(parts[1:]) else parts[-1]
+    return word if word in SIDE_NAMES and not (word == "header" and in_main) else None
+
+
+def _marks(name: str, attributes: str, in_main: bool) -> tuple[bool, int]:
     """Does the element open the main part, or a part around it?"""
-    side = name in SIDE or (name == "header" and not in_main)
+    side = FIRM if name in SIDE or (name == "header" and not in_main) else CLEAR
     main = name in MAIN
     if attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "style":
-                side |= "display:none" in value.replace(" ", "").lower()
+                hidden = "display:none" in value.replace(" ", "").lower()
+                side = FIRM if hidden else side
             elif key in ("hidden", "aria-hidden"):
-                side |= value.lower() != "false"
+                side = FIRM if value.lower() != "false" else side
             elif name not in ("html", "body"):
-                parts = {p.lower() for p in NAME_PARTS.findall(value)}
-                side |= bool(parts & SIDE_NAMES) and name not in MAIN
-                main |= key == "role" and "main" in parts
-    return main, side
+                main |= key == "role" and "main" in value.lower().split()
+                if name not in MAIN:
+                    words = {_side_word(v, in_main) for v in value.split()} - {None}
+                    if words:
+                        side = max(side, NAMED if COMMENTS.isdisjoint(words) else FIRM)
+    return main, CLEAR if main and side == NAMED else side
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """Text, link density, and whether it is in the main part or in one around it."""
-    out: list[tuple[str, float, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, in main, in a part around it
+    out: list[tuple[str, float, bool, int]] = []
+    open_: list[tuple[str, bool, int]] = []  # element, in main, how far in a part around it
     pieces: list[str] = []
     linked = links = last = 0
 
@@ -174,7 +201,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         nonlocal linked
         words = html.unescape("".join(pieces)).split() if pieces else ()
         if words:
-            _, main, side = open_[-1] if open_ else ("", False, False)
+            _, main, side = open_[-1] if open_ else ("", False, CLEAR)
             out.append((" ".join(words), min(1.0, linked / len(words)), main, side))
         pieces.clear()
         linked = 0
@@ -213,12 +240,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             open_.pop()
         elif open_ and open_[-1][0] == "p":
             open_.pop()
-        _, main, side = open_[-1] if open_ else ("", False, False)
+        _, main, side = open_[-1] if open_ else ("", False, CLEAR)
         opens_main, opens_side = _marks(name, token["attributes"], main)
-        open_.append((name, main or opens_main, side or opens_side))
+        if opens_main and side < FIRM:
+            side = min(side, DOUBTFUL) if name == "article" else CLEAR
+        open_.append((name, main or opens_main, max(side, opens_side)))
     add(page[last:])
     close_block()
-    return out
+    clear = any(main and side == CLEAR for _, _, main, side in out)
+    most = CLEAR if clear else DOUBTFUL
+    return [(text, density, main, side > most) for text, density, main, side in out]
 
 
 def main_text(page: str | None, tree: Node | bool | None = None) -> str:
