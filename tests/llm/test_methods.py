@@ -362,6 +362,28 @@ def test_names_of_wrappers_lose_no_text():
         assert html_text.main_text(page) == text, page
 
 
+VALID = {
+    "<html><head><title>x</title><meta name=a><body><article><p>The text.": "The text.",
+    "<head><script>1</script><link rel=a><article><p>The text.</article>": "The text.",
+    "<head><title>x</title><b>So</b> " + "word " * 60 + "<p>and more": "So " + " ".join(["word"] * 60) + "\nand more",
+    "<head><title>x</title></head><body><main>a</main>": "a",
+    "<article><p>a <svg viewBox='0 0 1 1' class=\"a>b\"/> b</p><p>c</p></article>": "a b\nc",
+    "<article><p>a<svg><path/><text>icon</text></svg> b</p><p>c</article>": "a b\nc",
+    "<article><p>so <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> holds</article>":
+        "so x=y2 holds",
+    "<article><p>a <math/>b<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>"
+    "<p>c</article>": "a bx\nc",
+    "<article><p>see <object data=a.pdf><param name=p>the <b>file</b></object> here</article>":
+        "see the file here",
+    "<article><title-card>a</title-card><p>b</article>": "a\nb",
+}
+
+
+def test_valid_pages_lose_no_text():
+    for page, text in VALID.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_main_text():
     for page, text in PAGES.items():
         assert html_text.main_text(page) == text, page

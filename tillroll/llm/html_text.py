@@ -25,11 +25,18 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: elements whose content is not text of the page, elements that
 # don't interrupt a line of text, elements without content.
-SILENT = "script|style|textarea|title|noscript|template|svg|math|iframe|object|select|canvas"
+SILENT = (
+    "script|style|textarea|title|noscript|template|svg|iframe|select|canvas|annotation-xml|annotation"
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
-    "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "object param q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    # formulas
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics".split()
 )
+HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -55,7 +62,8 @@ STATES = frozenset("no not non has have with without and or hide free long".spli
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{SILENT})\b[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z)"
+    r"""|<svg(?![^\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
+    rf"|<(?P<silent>{SILENT})(?![^\s/>])[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)"
     r"""(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<[/!?a-z][^>]*+(?:>|\Z)",
@@ -206,9 +214,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         pieces.clear()
         linked = 0
 
+    def leave_head():
+        if open_ and open_[-1][0] == "head":
+            open_.pop()
+
     def add(text: str):
         nonlocal linked
         if text:
+            if not text.isspace():
+                leave_head()
             pieces.append(text)
             if links:
                 linked += len(text.split())
@@ -220,6 +234,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         if name is None:
             continue
         name = name.lower()
+        if not token["end"] and name not in HEAD:
+            leave_head()
         if name in INLINE:
             if name == "a":
                 links = 0 if token["end"] else 1
