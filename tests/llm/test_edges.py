@@ -93,6 +93,20 @@ def test_language(spark, docs, nothing):
     assert nothing.select(language_id.predictor(spark, model)(F.col("text"))).count() == 0
 
 
+def test_language_of_texts_with_zeros(spark):
+    pair = {"en": "the cat and the dog went out", "xx": "zuq woxi qazu xowu zaqi"}
+    rows = [(i, text, lang) for i in range(4) for lang, text in pair.items()]
+    model = language_id.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    texts = ["the\x00cat and \x00\x00 the dog", *pair.values(), "\x00", "zuq\x00woxi", ""]
+    names, _ = model.predict(texts)
+    assert names == ["en", "en", "xx", "und", "xx", "und"]
+    spaced = language_id.grams([t.replace("\x00", " ") for t in texts])
+    assert all((a == b).all() for a, b in zip(language_id.grams(texts), spaced))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    found = df.select("text", language_id.predictor(spark, model)(F.col("text")).alias("p"))
+    assert {r.text: r.p.lang for r in found.collect()} == dict(zip(texts, names))
+
+
 def test_mixing(docs, nothing):
     drawn = mix.planned(docs)
     assert drawn.columns == [*docs.columns, "mix_"]

@@ -53,7 +53,8 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each n-gram, its text, number of letters of each text). Texts are lower-cased;
     what is not a letter counts as one space, and every text starts and ends with one."""
-    joined = "\x00".join(f" {t.lower()} " for t in texts)
+    # U+0000 in a text is no bound of texts.
+    joined = "\x00".join(f" {t.lower()} ".replace("\x00", " ") for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     text = np.cumsum(codes == 0)
     letters = _letters(codes)
