@@ -291,6 +291,39 @@ def test_licenses_in_noise():
             assert (1 - near) ** len(level.minima) <= licenses.MISSED
 
 
+def found_licenses(*texts: str) -> list[list[str]]:
+    library = licenses.build_library(licenses.TEMPLATES)
+    found = licenses._scan(pa.array(texts), library, licenses.MIN_SHARE).to_pylist()
+    return [[m["license"] for m in matches] for matches in found]
+
+
+def test_every_template_is_its_own_license_only():
+    rng = random.Random(8)
+    texts = [
+        " ".join([*invented(rng, 40), text, *invented(rng, 40)]) for _, text in licenses.TEMPLATES
+    ]
+    assert found_licenses(*texts) == [[name] for name, _ in licenses.TEMPLATES]
+
+
+def test_licenses_of_the_same_wording():
+    notices = dict(licenses.NOTICES)
+    gpl, lgpl = notices["GPL-3.0"], notices["LGPL-2.1"]
+    bsd = licenses.whole_text("BSD-3-Clause").replace("copyright holder nor", "University nor")
+    filler = " ".join(invented(random.Random(9), 60))
+    cases = {
+        gpl.replace("version 3", "version 4"): [],
+        notices["GPL-2.0"].replace("program", "library"): ["GPL-2.0"],
+        lgpl.replace("version 2.1", "version 7"): [],
+        f"{gpl} {filler} {notices['AGPL-3.0']}": ["AGPL-3.0", "GPL-3.0"],
+        f"{gpl} {notices['GPL-2.0']}": ["GPL-2.0", "GPL-3.0"],
+        bsd: ["BSD-3-Clause"],
+        f"{licenses.whole_text('BSD-2-Clause')} {filler} {bsd}": ["BSD-2-Clause", "BSD-3-Clause"],
+        f"{licenses.whole_text('GPL-3.0')} {licenses.whole_text('MIT')}": ["GPL-3.0", "MIT"],
+        f"{licenses.whole_text('Apache-2.0')[:9_500]}": ["Apache-2.0"],
+    }
+    assert found_licenses(*cases) == list(cases.values())
+
+
 def test_quality_figures(spark):
     rng = random.Random(6)
     texts = [" ".join(invented(rng, n) * (200 // n)) for n in (1, 4, 9, 30, 90)]

@@ -11,6 +11,12 @@ below MISSED, one in a million (about 13 bands for the shortest, 48 for the long
 window of one shingle is retrieved always. What is retrieved is verified by the exact
 share of the template's shingles that the window has.
 
+Licenses share much of their wording. So a match needs OWN_SHARE of the shingles that tell
+its template from each similar one of another license (a version, Affero or Lesser, the
+third clause), and a place in the text counts once: the match with the most shingles takes
+it, and one of another license with half of its own there is dropped. The opening that the
+BSD licenses have in common is `BSD` where neither whole text follows.
+
 The templates are a fixed, small table. One arrow_udf reads each whole text; nothing is
 shuffled. A null, empty or very short text has no shingles and no license. Equal rows get
 equal results; other columns pass through; an empty table stays empty.
@@ -19,6 +25,7 @@ equal results; other columns pass through; an empty table stays empty.
 from __future__ import annotations
 
 import math
+import pkgutil
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,14 +40,16 @@ from .text import NOT_ALNUM, chunks, mix, window_hashes
 SHINGLE = 5
 MIN_SHARE = 0.8
 MISSED = 1e-6
+SIMILAR = 0.5  # of a template's shingles are in another: that one is similar
+OWN_SHARE = 0.5
 
 # Public license notices and the opening clauses of license texts.
-TEMPLATES = (
+NOTICES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -53,12 +62,26 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# ... and whole texts, a file each.
+WHOLE = (
+    "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-1.0", "GPL-2.0",
+    "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0",
+)
+
+
+def whole_text(name: str) -> str:
+    return (pkgutil.get_data(__package__, f"license_texts/{name}.txt") or b"").decode()
+
+
+TEMPLATES = (*NOTICES, *((name, whole_text(name)) for name in WHOLE))
 
 
 def least_similarity(size: int, window: int, share: float = MIN_SHARE) -> float:
@@ -103,9 +126,19 @@ class Level:
 class Library:
     names: list[str]
     shingles: list[np.ndarray]
+    own: list[list[np.ndarray]]  # for each similar template, the shingles it has not
     levels: list[Level]
 
 
+def _own(names: list[str], found: list[np.ndarray]) -> list[list[np.ndarray]]:
+    own: list[list[np.ndarray]] = []
+    for name, shingles in zip(names, found):
+        others = (np.setdiff1d(shingles, s) for n, s in zip(names, found) if n != name)
+        most = (1 - SIMILAR) * len(shingles)
+        own.append([o for o in others if 0 < len(o) <= most])
+    return own
+
+
 def build_library(templates: Sequence[tuple[str, str]]) -> Library:
     names, found = [], []
     for chunk in chunks(pa.array([text for _, text in templates], pa.string())):
@@ -131,7 +164,7 @@ def build_library(templates: Sequence[tuple[str, str]]) -> Library:
             seed = _seed(band)
             level.minima.append(np.array([_hashed(found[i], seed).min() for i in chosen]))
         levels.append(level)
-    return Library(names, found, levels)
+    return Library(names, found, _own(names, found), levels)
 
 
 @lru_cache(maxsize=4)
@@ -204,6 +237,13 @@ MATCH = pa.struct(
 MATCHES_SQL = "array<struct<license: string, share: double, first_word: long>>"
 
 
+def _densest(places: np.ndarray, length: int) -> np.ndarray:
+    """Of sorted places those in the stretch of this length that holds most of them."""
+    ends = np.searchsorted(places, places + length)
+    first = int((ends - np.arange(len(places))).argmax())
+    return places[first : ends[first]]
+
+
 def _scan(texts: pa.Array, library: Library, min_share: float) -> pa.Array:
     out: list[list[dict]] = []
     for chunk in chunks(texts):
@@ -212,15 +252,29 @@ def _scan(texts: pa.Array, library: Library, min_share: float) -> pa.Array:
         starts = words.windows(SHINGLE)
         shingles = window_hashes(lowered.hashes(words), starts, SHINGLE)
         bounds = np.searchsorted(starts, words.bounds)
-        best: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(chunk))]
+        matches: list[tuple] = []
         for start, end, text, template in _retrieve(library.levels, shingles, bounds):
             wanted, window = library.shingles[template], shingles[start:end]
             hit = np.isin(window, wanted)
             share = len(np.unique(window[hit])) / len(wanted)
+            if share < min_share:
+                continue
+            at = _densest(np.flatnonzero(hit), len(wanted) * 5 // 4 + 1)
+            had = np.unique(window[at])
+            if all(np.isin(o, had).sum() >= OWN_SHARE * len(o) for o in library.own[template]):
+                matches.append((-len(had), -share, start, template, text, start + at))
+        matches.sort(key=lambda m: m[:4])
+        best: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(chunk))]
+        codes = {name: i for i, name in enumerate(dict.fromkeys(library.names))}
+        taken = np.full(len(shingles), -1)
+        for _, less, _, template, text, at in matches:
             name = library.names[template]
-            if share >= min_share and share > best[text].get(name, (0.0, 0))[0]:
-                first = starts[start + int(hit.argmax())] - words.bounds[text]
-                best[text][name] = (share, int(first))
+            others = (taken[at] >= 0) & (taken[at] != codes[name])
+            if 2 * others.sum() >= len(at):
+                continue
+            taken[at[~others]] = codes[name]
+            if -less > best[text].get(name, (0.0, 0))[0]:
+                best[text][name] = (-less, int(starts[at[0]] - words.bounds[text]))
         out.extend(
             [
                 {"license": name, "share": share, "first_word": first}
@@ -235,7 +289,7 @@ def scan(
     text: Column, templates: Sequence[tuple[str, str]] = TEMPLATES, min_share: float = MIN_SHARE
 ) -> Column:
     """Licenses of each text, sorted by name: array of (license, share, first_word), the
-    greatest share of any template of the license and the word where that window's first
+    greatest share of any template of the license and the word where that match's first
     matching shingle starts."""
     fixed = tuple(templates)
 
