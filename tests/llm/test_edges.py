@@ -80,6 +80,19 @@ def test_decontamination_in_blocks(docs, benchmark):
     assert kept.count() == one.where("NOT contamination_.contaminated").count() < len(EDGES)
 
 
+def test_longest_run_over_items_of_several_blocks(spark):
+    text = " ".join(f"v{i}" for i in range(60))
+    part = text.split()
+    items = [" ".join(part[a : a + 15]) for a in (10, 20, 33)]  # v10 .. v47, one run
+    items.append(" ".join(part[55:]) + " and more words of its own, none of them in the text at all")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = frame(prepare(spark), [(1, text), (2, "nothing of it"), (3, None)])
+    for block_bytes in (1 << 24, 5):
+        found = decontaminate.find_contamination(rows, benchmark, block_bytes=block_bytes)
+        got = {r.doc_id: (r.contamination.n_hit, r.contamination.longest) for r in found.collect()}
+        assert got == {1: (38, 38), 2: (0, 0), 3: (0, 0)}, block_bytes
+
+
 def test_language(spark, docs, nothing):
     labelled = docs.select(F.col("doc_id").alias("id"), "text", "lang")
     model = language_id.train(labelled)

@@ -168,15 +168,14 @@ FOUND = pa.struct(
         ("n_words", pa.int64()),
         ("hits", pa.binary()),
         ("items", pa.list_(pa.string())),
-        ("longest", pa.int64()),
     ]
 )
-FOUND_SQL = "n_words long, hits binary, items array<string>, longest long"
+FOUND_SQL = "n_words long, hits binary, items array<string>"
 
 
 def _find(texts: pa.Array, searched: Searched) -> pa.Array:
-    """Per text: words, packed flags of the hit ones (null: none), items, longest run."""
-    n_words, hits, items, longest = [], [], [], []
+    """Per text: words, packed flags of the hit ones (null: none), items."""
+    n_words, hits, items = [], [], []
     many = len(searched.lengths) > MANY_WINDOWS
     for chunk in chunks(texts, SHARD_BYTES if many else CHUNK_BYTES):
         shard = Shard.build(chunk, searched)
@@ -197,20 +196,16 @@ def _find(texts: pa.Array, searched: Searched) -> pa.Array:
             if not len(own):
                 hits.append(None)
                 items.append([])
-                longest.append(0)
                 continue
             flags = hit[words.bounds[i] : words.bounds[i + 1]]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             hits.append(np.packbits(flags).tobytes())
             items.append([searched.names[j] for j in own])
-            longest.append(int((edges[1::2] - edges[::2]).max()))
     counts = np.concatenate([np.zeros(0, dtype=np.int64), *n_words])
     return pa.StructArray.from_arrays(
         [
             pa.array(counts, pa.int64()),
             pa.array(hits, pa.binary()),
             pa.array(items, pa.list_(pa.string())),
-            pa.array(longest, pa.int64()),
         ],
         fields=list(FOUND),
     )
@@ -243,19 +238,24 @@ def _finder(spark, searched: Searched):
     return F.arrow_udf(find, FOUND_SQL)
 
 
-def _n_set(bits: Column) -> Column:
-    """How many bits of a binary are set."""
+def _runs(bits: Column) -> Column:
+    """How many bits of a binary are set, and how many in the longest run."""
 
-    def count(column: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                int(np.unpackbits(np.frombuffer(b, dtype=np.uint8)).sum()) if b else 0
-                for b in column.to_pylist()
-            ],
-            pa.int64(),
+    def count(b: bytes | None) -> tuple[int, int]:
+        if not b:
+            return 0, 0
+        flags = np.unpackbits(np.frombuffer(b, dtype=np.uint8)).view(np.int8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
+        lengths = edges[1::2] - edges[::2]
+        return int(lengths.sum()), int(lengths.max(initial=0))
+
+    def counts(column: pa.Array) -> pa.Array:
+        found = np.array([count(b) for b in column.to_pylist()], dtype=np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays(
+            [pa.array(found[:, 0]), pa.array(found[:, 1])], names=["n", "longest"]
         )
 
-    return F.arrow_udf(count, "long")(bits)
+    return F.arrow_udf(counts, "n long, longest long")(bits)
 
 
 def _merged(parts: Column) -> Column:
@@ -290,16 +290,16 @@ def find_contamination(
     else:
         marked = _merge_blocks(docs, finders, found)
     hit = fresh_name(marked, "hit")
-    n_words, n_hit = F.col(found)["n_words"], F.col(hit)
+    n_words, n_hit = F.col(found)["n_words"], F.col(hit)["n"]
     judged = F.struct(
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.array_sort(F.array_distinct(F.col(found)["items"])).alias("items"),
-        F.col(found)["longest"].alias("longest"),
+        F.col(hit)["longest"].alias("longest"),
         ((n_hit > 0) & (one_in * n_hit >= n_words)).alias("contaminated"),
     )
     return (
-        marked.withColumn(hit, _n_set(F.col(found)["hits"])).withColumn(found, judged).drop(hit)
+        marked.withColumn(hit, _runs(F.col(found)["hits"])).withColumn(found, judged).drop(hit)
     )
 
 
@@ -314,7 +314,6 @@ def _merge_blocks(docs: DataFrame, finders: list, found: str) -> DataFrame:
     merged = F.struct(
         _merged(F.col("hits")).alias("hits"),
         F.flatten("items").alias("items"),
-        F.col("longest"),
     )
     hits = (
         reduce(DataFrame.unionByName, passes)
@@ -322,7 +321,6 @@ def _merge_blocks(docs: DataFrame, finders: list, found: str) -> DataFrame:
         .agg(
             F.collect_list("f.hits").alias("hits"),
             F.collect_list("f.items").alias("items"),
-            F.max("f.longest").alias("longest"),
         )
         .select(key, digest, merged.alias(found))
     )
@@ -332,7 +330,6 @@ def _merge_blocks(docs: DataFrame, finders: list, found: str) -> DataFrame:
         finders[0](F.col("text"))["n_words"].alias("n_words"),
         hit["hits"].alias("hits"),
         F.coalesce(hit["items"], F.array().cast("array<string>")).alias("items"),
-        F.coalesce(hit["longest"], F.lit(0).cast("long")).alias("longest"),
     )
     return docs.join(hits, same, "left").drop(key, digest).withColumn(found, whole)
 
