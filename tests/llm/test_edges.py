@@ -176,6 +176,20 @@ def test_jaccard(docs, nothing):
     assert jaccard_join.one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_of_repeated_and_missing_ids(spark):
+    prepare(spark)
+    some, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, some), (3, some), (3, some.upper()), (5, some + " more"), (3, other)]
+    rows += [(None, some), (None, other), (None, "alone w1 w2 w3 w4"), (None, "alone w1 w2 w3 w4")]
+    rows += [(4, other), (6, "kept w5 w6 w7 w8"), (6, None), (None, None), (None, "")]
+    kept = jaccard_join.one_of_each(clashing(frame(spark, rows))).select("doc_id", "text").collect()
+    texts = Counter((r.text or "").lower() for r in kept)
+    expected = [some, other, "alone w1 w2 w3 w4", "kept w5 w6 w7 w8", "", "", ""]
+    assert Counter(t.replace(" more", "") for t in texts.elements()) == Counter(expected)
+    ids = Counter(r.doc_id for r in kept if (r.text or "").startswith(("a", "b", "A")))
+    assert ids[None] == 1 and sum(ids.values()) == 3
+
+
 def test_pages(spark):
     pages = [None, "", "   ", "plain text", "<p>" + "word " * 60_000, "<p>broken <a href='x", "<"]
     df = spark.createDataFrame([(p,) for p in pages], "html string")

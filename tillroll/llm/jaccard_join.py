@@ -553,12 +553,40 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     )
 
 
+def _nodes(docs: DataFrame, node: str) -> DataFrame:
+    """`docs` with a number of its own for each row: its doc_id, but one above all ids for rows
+    without one, and for all rows but one of a repeated doc_id."""
+    of, at = fresh_name(docs, "of"), fresh_name(docs, "at")
+    doc_id = F.col("doc_id").cast("long")
+    ids = docs.select(doc_id.alias(of)).groupBy(of).agg(F.count("*").alias("n"))
+    odd = written(ids.where(f"n > 1 OR `{of}` IS NULL").select(of), "odd-ids")
+    if odd.isEmpty():
+        return docs.withColumn(node, doc_id)
+    maybe = bloom.among(odd.where(F.col(of).isNotNull()))(doc_id) | doc_id.isNull()
+    maybe = F.coalesce(maybe, F.lit(True))
+    same = doc_id.eqNullSafe(odd[of])
+    plain = docs.where(~maybe).unionByName(docs.where(maybe).join(odd, same, "left_anti"))
+    rows = docs.where(maybe).join(odd, same, "left_semi")
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()), "odd-rows")
+    first = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(of))
+    first = first.agg(F.min(at).alias(node)).select(node)
+    greatest = docs.agg(F.max(doc_id)).first()[0] or 0
+    numbered = rows.join(first, rows[at] == first[node], "left").withColumn(
+        node, F.when(F.col(node).isNotNull(), doc_id).otherwise(F.lit(greatest) + 1 + F.col(at))
+    )
+    return plain.withColumn(node, doc_id).unionByName(numbered.drop(at))
+
+
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """One document of each component, the one with the least doc_id; all columns as they
-    were. Documents without words, and rows without a doc_id, stay."""
-    found = near_duplicates(docs, how).where("doc_id <> component_id")
+    were. Documents without words stay. Each row is a document: those without a doc_id, and
+    all but one of a repeated doc_id, come after all others."""
+    node = fresh_name(docs, "node")
+    docs = _nodes(docs, node)
+    found = near_duplicates(docs.select(F.col(node).alias("doc_id"), "text"), how)
     name = fresh_name(docs, "copy")
-    copies = written(found.select(F.col("doc_id").alias(name)).distinct(), "copies")
-    maybe = bloom.among(copies)(F.col("doc_id"))  # the others need no comparison
-    checked = docs.where(maybe).join(copies, docs["doc_id"] == copies[name], "left_anti")
-    return docs.where(~maybe).unionByName(checked)
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    copies = written(copies.distinct(), "copies")
+    maybe = bloom.among(copies)(F.col(node))  # the others need no comparison
+    checked = docs.where(maybe).join(copies, docs[node] == copies[name], "left_anti")
+    return docs.where(~maybe).unionByName(checked).drop(node)
