@@ -32,7 +32,7 @@ def documents(duck):
 
 def test_all_are_registered():
     names = {name.split("_")[0] for name in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry_module.queries())
 
 

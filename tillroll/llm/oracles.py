@@ -186,3 +186,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+SEARCH = f"""
+WITH d AS (
+  SELECT doc_id, ws FROM (SELECT doc_id, {_words(_lower("text"), ALNUM)} AS ws FROM documents)
+  WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest({_words(_lower("text"), ALNUM)}) AS term FROM benchmark),
+held AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM d)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals GROUP BY term, n_docs),
+parts AS (
+  SELECT doc_id, term,
+         w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) AS part
+  FROM held JOIN weights USING (term), totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score
+  FROM item_terms JOIN parts USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""

@@ -1,13 +1,14 @@
-"""The registered queries op1 .. op10 over the documents, benchmark and pages tables."""
+"""The registered queries op1 .. op13 over the documents, benchmark and pages tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_text, jaccard_join, language_id, licenses, line_dedup, mix
-from . import oracles, quality, substring_dedup, token_files
+from . import decontaminate, html_text, jaccard_join, language_id, lexical_search, licenses
+from . import line_dedup, mix, oracles, periodic_runs, piece_codec, quality, substring_dedup
+from . import token_files
 from .session import prepare
 
 
@@ -21,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = token_files.TokenFiles(scratch_path(spark, "tokens"))
@@ -113,6 +120,54 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = piece_model_path()
+    encoded = docs.select("doc_id", piece_codec.encode(F.col("text"), path).alias("ids"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        piece_codec.sha256_of_ids(F.col("ids")).alias("ids_sha256"),
+        F.sha2(piece_codec.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lexical_search.search(docs, _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def _made_periodic(doc_id: Column, text: Column) -> Column:
+    """The text; for a tenth of the ids its words from some place on repeat with a period."""
+    words = periodic_runs.words_of(text)
+    h = F.crc32(doc_id.cast("string"))
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    made = F.transform(
+        words,
+        lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))),
+    )
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    made = docs.select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.with_runs(made)
+    runs, best = F.col("runs"), F.col("best")
+    return found.withColumn("best", periodic_runs.strongest(runs)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        best.start.alias("start"),
+        best.length.alias("length"),
+        best.period.alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(runs), 256).alias("runs_sha256"),
+        F.sha2(periodic_runs.collapsed(F.col("text"), runs), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,6 +181,9 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_html_extraction,
         op10_line_dedup,
+        op11_sentencepiece,
+        op12_lexical_search,
+        op13_periodic_runs,
     )
 }
 
@@ -136,4 +194,5 @@ SQL = {
     "op6_quality_rules": oracles.QUALITY,
     "op8_ngram_jaccard": oracles.JACCARD,
     "op10_line_dedup": oracles.LINES,
+    "op12_lexical_search": oracles.SEARCH,
 }
