@@ -139,16 +139,24 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _made_periodic(doc_id: Column, text: Column) -> Column:
     """The text; for a tenth of the ids its words from some place on repeat with a period."""
-    words = periodic_runs.words_of(text)
     h = F.crc32(doc_id.cast("string"))
-    n, g = F.size(words), F.floor(h / 10)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    made = F.transform(
-        words,
-        lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))),
-    )
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def made(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        repeated = F.transform(
+            words,
+            lambda w, i: F.when(i < a, w).otherwise(
+                F.get(words, (a + F.pmod(i - a, p)).cast("int"))
+            ),
+        )
+        return F.when(n > 0, F.array_join(repeated, " ")).otherwise(text)
+
+    # the array of one binds the words to a variable, so that they are split once
+    once = F.transform(F.array(periodic_runs.words_of(text)), made)
+    return F.when(h % 10 == 0, F.get(once, F.lit(0))).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
