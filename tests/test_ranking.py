@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tillroll.operators import ranking
 
 
-@pytest.fixture(params=["blocks", "small blocks"])
+@pytest.fixture(params=["many cuts", "few cuts"])
 def way(request, monkeypatch):
-    if request.param == "small blocks":
-        monkeypatch.setattr(ranking, "BLOCK_BITS", 3)
+    if request.param == "few cuts":
+        monkeypatch.setattr(ranking, "CUTS", 5)
     return request.param
 
 
@@ -33,7 +33,7 @@ KINDS = ["spread", "clustered", "a third tied", "one", "none"]
 @pytest.mark.parametrize("kind", KINDS)
 def test_rank_equals_one_window(spark, way, kind):
     df = spark.createDataFrame(list(enumerate(_values(kind))), "id bigint, v bigint")
-    got = ranking.add_ranks(df, "id", {"place": F.col("v")}, "n").select("id", "v", "place", "n")
+    got = ranking.add_ranks(df, {"place": F.col("v")}, "n").select("id", "v", "place", "n")
     want = df.select(
         "id", "v",
         F.rank().over(Window.orderBy(F.desc("v"))).cast("bigint"),
@@ -56,7 +56,7 @@ def test_totals_equal_plain_sums(spark, way, kind):
 def test_several_ranks_and_missing_values(spark, way):
     rows = [(i, i % 7 if i % 5 else None, -i % 4 if i % 3 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "id bigint, a bigint, b bigint")
-    got = ranking.add_ranks(df, "id", {"ra": F.col("a"), "rb": F.col("b")}, "n")
+    got = ranking.add_ranks(df, {"ra": F.col("a"), "rb": F.col("b")}, "n")
 
     def rank(i, value):
         values = [r[i] for r in rows if r[i] is not None]
@@ -75,13 +75,27 @@ def test_no_job_runs_and_no_window_holds_the_table(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10).alias("v"))
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("plans only", "")
-    ranked = ranking.add_ranks(df, "id", {"place": F.col("v"), "other": -F.col("v")}, "n")
+    ranked = ranking.add_ranks(df, {"place": F.col("v"), "other": -F.col("v")}, "n")
     totals = ranking.running_totals(df.groupBy("v").count(), "v", ["count"])
-    plan = totals._jdf.queryExecution().executedPlan().toString()
     assert not tracker.getJobIdsForGroup("plans only")
-    # ranks are windows per rank; a running total's one unpartitioned window runs on
-    # super-blocks, after two more aggregations
-    assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
-    single = plan[plan.index("Exchange SinglePartition"):].split("\n")[1]
-    assert "keys=[_super" in single
-    assert plan.count("SinglePartition") == 1
+    for df in (ranked, totals):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.split("\n") if "Window [" in line]
+        # rows of one block, or the table with one row for each block
+        assert windows
+        assert all("windowspecdefinition(_block" in w or "windowspecdefinition(_which" in w for w in windows)
+        assert "Sort" not in plan.split("Exchange SinglePartition")[0].split("Window")[0]
+
+
+def test_a_hot_tie_is_spread_and_the_table_of_blocks_not_shuffled(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 3).otherwise(F.col("id")).alias("v"))
+    ranked = ranking.add_ranks(rows, {"place": F.col("v")}, "n")
+    found, _ = ranking._above(rows.withColumn("k", F.col("v")), ["k"], {"n": F.lit(1)})
+    hot = found.where("v = 3").select(F.countDistinct("_salt_0"), F.countDistinct("_block_0")).first()
+    assert tuple(hot) == (1000, 1)
+    assert ranked.where("v = 3").select("place", "n").distinct().collect() == [
+        (1 + rows.where("v > 3").count(), 3000)
+    ]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Window [" in line]
+    assert not any("_offsets" in line.split("windowspec")[0] for line in lines)

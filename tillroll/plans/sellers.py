@@ -117,7 +117,6 @@ def with_ranks(qualified: DataFrame) -> DataFrame:
     """Sellers ranked among themselves by revenue and by rating, on exact values."""
     return add_ranks(
         qualified,
-        "seller_id",
         {"revenue_rank": F.col("revenue_cents"), "rating_rank": _rating_units()},
         total="qualified_sellers",
     )
