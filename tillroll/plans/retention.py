@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import measures as m
@@ -49,26 +49,58 @@ def repeat_rate(tables: RetailTables, scope: Scope) -> DataFrame:
     )
 
 
-def cohort_activity(tables: RetailTables, scope: Scope) -> DataFrame:
-    """Active customers per (first month, months since), for cohorts in the window.
+# A customer's active months are bits, counted from the scope's first month.
+MONTHS_PER_WORD = 60
+CALENDAR_WORDS = 10  # fifty years
+
+
+def _active_months(tables: RetailTables, scope: Scope) -> DataFrame:
+    """(cohort_month, cohort, words) of the customers of cohorts in the window.
 
-    The first month is looked for in all orders of the status, before the window
-    is applied. One aggregate per person finds it together with the person's
-    months, a set that the calendar bounds and that tasks reduce before the shuffle.
+    The first month is looked for in all orders of the status, before the window is applied.
+    One aggregate per person finds it together with the months as bits of `CALENDAR_WORDS`
+    longs, fixed-size buffers that tasks reduce before the shuffle. `cohort` numbers the first
+    month from the scope's. Months before the scope only tell that a person is not in a
+    cohort; one beyond the calendar is an error.
     """
     bought = m.month_of(F.col(_BOUGHT))
-    people = (
-        with_person(scope.has_status(tables.orders), tables.customers)
-        .groupBy("customer_unique_id")
-        .agg(F.min(bought).alias("cohort_month"), F.collect_set(bought).alias("months"))
+    first = F.lit(scope.start.replace(day=1))
+    month = m.months_between(bought, first)
+    beyond = F.raise_error(F.lit("an order is over fifty years younger than the scope"))
+    number = F.when(month < MONTHS_PER_WORD * CALENDAR_WORDS, month).otherwise(beyond)
+    orders = with_person(scope.has_status(tables.orders), tables.customers).select(
+        "customer_unique_id",
+        bought.alias("month"),
+        F.floor(number / MONTHS_PER_WORD).cast("int").alias("word"),
+        F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(MONTHS_PER_WORD)).cast("int")
+        ).alias("bit"),
     )
+    words = [
+        F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0)).alias(f"w{i}")
+        for i in range(CALENDAR_WORDS)
+    ]
+    people = orders.groupBy("customer_unique_id").agg(F.min("month").alias("cohort_month"), *words)
+    return people.filter(scope.holds_month(F.col("cohort_month"))).select(
+        "cohort_month",
+        m.months_between(F.col("cohort_month"), first).cast("int").alias("cohort"),
+        F.array(*[f"w{i}" for i in range(CALENDAR_WORDS)]).alias("words"),
+    )
+
+
+def cohort_activity(tables: RetailTables, scope: Scope) -> DataFrame:
+    """Active customers per (first month, months since), for cohorts in the window."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(MONTHS_PER_WORD - 1)),
+        lambda i: F.bit_get(F.col("bits"), i) == 1,
+    )
+    number = F.col("word") * MONTHS_PER_WORD + F.col("bit") - F.col("cohort")
     return (
-        people.filter(scope.holds_month(F.col("cohort_month")))
-        .select("cohort_month", F.explode("months").alias("order_month"))
-        .groupBy(
-            "cohort_month",
-            m.months_between(F.col("order_month"), F.col("cohort_month")).alias("month_number"),
-        )
+        _active_months(tables, scope)
+        .select("cohort_month", "cohort", F.posexplode("words").alias("word", "bits"))
+        .filter(F.col("bits") != 0)
+        .select("cohort_month", "cohort", "word", F.explode(bits).alias("bit"))
+        .groupBy("cohort_month", number.alias("month_number"))
         .agg(F.count(F.lit(1)).alias("active_customers"))
     )
 
@@ -96,16 +128,16 @@ def cohort_long(
 
 def cohort_counts(tables: RetailTables, scope: Scope, horizon: int) -> DataFrame:
     """One row per cohort with the active customers of months 0..horizon in an array."""
-    month_counts = [
-        F.coalesce(
-            F.sum(F.when(F.col("month_number") == k, F.col("active_customers"))), F.lit(0)
-        )
-        for k in range(horizon + 1)
-    ]
+
+    def active(k: int) -> Column:
+        month = F.col("cohort") + k
+        word = F.get("words", F.floor(month / MONTHS_PER_WORD).cast("int"))
+        return F.coalesce(F.bit_get(word, F.pmod(month, F.lit(MONTHS_PER_WORD))), F.lit(0))
+
     return (
-        cohort_activity(tables, scope)
+        _active_months(tables, scope)
         .groupBy("cohort_month")
-        .agg(F.array(*month_counts).alias("active"))
+        .agg(F.array(*[F.sum(active(k)) for k in range(horizon + 1)]).alias("active"))
         .withColumn("cohort_size", F.col("active")[0])
     )
 
