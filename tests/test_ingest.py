@@ -9,7 +9,7 @@ from tests.shop import rows
 from tillroll import load
 from tillroll.schema import TABLES
 from tillroll.scope import MONTH_COLUMN
-from tillroll.sources import raw_csv, store
+from tillroll.sources import manifest, raw_csv, store
 
 RAW = {
     "customers": (
@@ -174,3 +174,53 @@ def test_most_frequent_names_and_ties(spark):
     names = [f"geolocation_{c} string" for c in ("zip_code_prefix", "lat", "lng", "city", "state")]
     got = sorted(rows(raw_csv.rollup_geolocation(spark.createDataFrame(points, ", ".join(names)))))
     assert got == [("1", Decimal("1"), Decimal("2"), "a", "Y"), ("2", None, Decimal("3"), None, None)]
+
+
+def _status(report):
+    return {r[0]: r[3] for r in rows(report)}
+
+
+def test_a_swapped_value_and_a_lost_row_are_mismatches(spark, raw, tmp_path):
+    target = str(tmp_path / "tables")
+    stored = store.load_tables(spark, str(raw), target)
+    payments, customers = RAW["order_payments"].splitlines(), RAW["customers"].splitlines()
+    swapped = [payments[0], *(a.replace("18.12", "x").replace("2.00", "18.12").replace("x", "2.00") for a in payments[1:])]
+    (raw / "order_payments.csv").write_text("\n".join(swapped) + "\n")
+    (raw / "customers.csv").write_text("\n".join(customers[:-1]) + "\n")
+    got = _status(store.reconcile_load(spark, str(raw), target))
+    assert {t for t, s in got.items() if s == "MISMATCH"} == {"order_payments", "customers"}
+    # the order of rows does not matter
+    (raw / "order_payments.csv").write_text("\n".join([payments[0], *payments[:0:-1]]) + "\n")
+    assert _status(store.reconcile_load(spark, str(raw), target))["order_payments"] == "OK"
+    assert stored.order_payments.count() == 2
+
+
+def test_a_failed_load_leaves_the_old_tables(spark, raw, tmp_path, monkeypatch):
+    target = str(tmp_path / "tables")
+    store.load_tables(spark, str(raw), target)
+    before = {name: sorted(map(repr, df.collect())) for name, df in store.RetailTables.read(spark, target).items()}
+    (raw / "sellers.csv").write_text(RAW["sellers"] + "s2,01001,rio,RJ\n")
+    (raw / "order_items.csv").write_text(RAW["order_items"].replace("29.99", "ten"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        store.load_tables(spark, str(raw), target)
+    after = {name: sorted(map(repr, df.collect())) for name, df in store.RetailTables.read(spark, target).items()}
+    assert after == before
+    # what the failed load has written goes on request, the published version stays
+    assert len(manifest.remove_unpublished(spark, target)) == 1
+    assert store.RetailTables.read(spark, target).sellers.count() == 1
+
+    (raw / "order_items.csv").write_text(RAW["order_items"])
+    tables = store.load_tables(spark, str(raw), target)
+    assert tables.sellers.count() == 2
+    assert store.RetailTables.read(spark, str(tmp_path / "nothing")).items is not None
+    with pytest.raises(FileNotFoundError, match="no table orders"):
+        store.RetailTables.read(spark, str(tmp_path / "nothing")).orders
+
+
+def test_one_table_is_replaced_alone(spark, raw, tmp_path):
+    target = str(tmp_path / "tables")
+    store.load_tables(spark, str(raw), target)
+    (raw / "sellers.csv").write_text(RAW["sellers"] + "s2,01001,rio,RJ\n")
+    tables = store.store_tables(spark, store.raw_tables(spark, str(raw)), target, only=["sellers"])
+    assert (tables.sellers.count(), tables.orders.count()) == (2, 2)
+    assert store.RetailTables.read(spark, target).order_items.count() == 1

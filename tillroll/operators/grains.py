@@ -65,7 +65,7 @@ def seller_orders(tables: RetailTables, scope: Scope) -> DataFrame:
     """
     in_scope = scope.apply(tables.orders).select("order_id")
     return (
-        tables.order_items.join(in_scope, "order_id", "left_semi")
+        tables.near("order_items", scope).join(in_scope, "order_id", "left_semi")
         .groupBy("order_id", "seller_id")
         .agg(F.sum(m.cents(m.revenue())).alias("revenue_cents"))
     )

@@ -16,7 +16,7 @@ def _scored_delays(tables: RetailTables, scope: Scope) -> DataFrame:
     """One row per order that was delivered and reviewed."""
     orders = delivered_on_record(scope.apply(tables.orders))
     return orders.select("order_id", m.delay_days().alias("delay_days")).join(
-        order_scores(tables.order_reviews), "order_id"
+        order_scores(tables.near("order_reviews", scope)), "order_id"
     )
 
 

@@ -12,8 +12,9 @@ from tillroll.scope import Scope
 from tillroll.tables import RetailTables
 
 
-def _line_revenue(tables: RetailTables) -> DataFrame:
-    return tables.order_items.select("order_id", "product_id", m.cents(m.revenue()).alias("cents"))
+def _line_revenue(tables: RetailTables, scope: Scope) -> DataFrame:
+    lines = tables.near("order_items", scope)
+    return lines.select("order_id", "product_id", m.cents(m.revenue()).alias("cents"))
 
 
 def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
@@ -24,7 +25,7 @@ def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
     orders then leaves the lines where that grouping needs them.
     """
     return (
-        _line_revenue(tables)
+        _line_revenue(tables, scope)
         .join(product_categories(tables), "product_id")
         .join(order_states(tables, scope), "order_id")
         .groupBy("customer_state", "category", "order_id")
@@ -38,7 +39,7 @@ def state_category(tables: RetailTables, scope: Scope) -> DataFrame:
 def revenue_by_state(tables: RetailTables, scope: Scope) -> DataFrame:
     """Revenue, share and mean freight of each state, in no order."""
     return (
-        order_totals(tables.order_items)
+        order_totals(tables.near("order_items", scope))
         .join(order_states(tables, scope), "order_id")
         .groupBy("customer_state")
         .agg(
@@ -68,7 +69,7 @@ def top_categories_by_state(tables: RetailTables, scope: Scope, k: int = 3) -> D
     best-seller enters that join as one row per state.
     """
     grid = (
-        _line_revenue(tables)
+        _line_revenue(tables, scope)
         .join(order_states(tables, scope), "order_id")
         .groupBy("customer_state", "product_id")
         .agg(F.sum("cents").alias("cents"))

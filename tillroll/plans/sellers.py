@@ -102,7 +102,7 @@ def seller_stats(tables: RetailTables, scope: Scope) -> DataFrame:
     """
     return (
         seller_orders(tables, scope)
-        .join(order_scores(tables.order_reviews), "order_id", "left")
+        .join(order_scores(tables.near("order_reviews", scope)), "order_id", "left")
         .groupBy("seller_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),

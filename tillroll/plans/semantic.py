@@ -30,8 +30,8 @@ def orders_view(tables: RetailTables, scope: Scope) -> DataFrame:
         m.delay_days().alias("delay_days"),
     )
     return (
-        orders.join(order_totals(tables.order_items), "order_id")
-        .join(order_scores(tables.order_reviews), "order_id", "left")
+        orders.join(order_totals(tables.near("order_items", scope)), "order_id")
+        .join(order_scores(tables.near("order_reviews", scope)), "order_id", "left")
         .select(
             "order_id",
             "customer_unique_id",
@@ -53,7 +53,7 @@ def order_items_view(tables: RetailTables, scope: Scope) -> DataFrame:
     """One row per in-scope item line."""
     in_scope = scope.apply(tables.orders).select("order_id")
     return (
-        tables.order_items.join(in_scope, "order_id", "left_semi")
+        tables.near("order_items", scope).join(in_scope, "order_id", "left_semi")
         .join(tables.sellers.select("seller_id", "seller_state"), "seller_id")
         .join(product_categories(tables), "product_id")
         .select(

@@ -17,7 +17,7 @@ def revenue_by_month(tables: RetailTables, scope: Scope) -> DataFrame:
         "order_id", m.month_of(F.col("order_purchase_timestamp")).alias("month")
     )
     return (
-        orders.join(order_totals(tables.order_items), "order_id")
+        orders.join(order_totals(tables.near("order_items", scope)), "order_id")
         .groupBy("month")
         .agg(
             F.count(F.lit(1)).alias("orders"),

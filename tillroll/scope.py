@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Stored orders are laid out by this column, the first day of the purchase month.
+# Stored facts are laid out by this column: first and last purchase month of their folder.
 MONTH_COLUMN = "purchase_month"
+MONTH_SEPARATOR = ".."  # 2017-01..2017-03
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,23 @@ class Scope:
         """Status and window on the raw columns, so both reach the file scan; where orders
         are laid out by month, files of other months are not opened."""
         bought = F.col("order_purchase_timestamp")
-        found = self.has_status(orders).filter(
-            (bought >= timestamp_literal(self.start)) & (bought < timestamp_literal(self.end))
+        return self.near(
+            self.has_status(orders).filter(
+                (bought >= timestamp_literal(self.start)) & (bought < timestamp_literal(self.end))
+            )
         )
-        if MONTH_COLUMN in orders.columns:
-            month = F.col(MONTH_COLUMN)
-            first = F.lit(self.start.replace(day=1))
-            found = found.filter((month >= first) & (month < F.lit(self.end))).drop(MONTH_COLUMN)
-        return found
+
+    def near(self, facts: DataFrame) -> DataFrame:
+        """Without the folders of rows whose orders were bought in other months. What is left
+        is still to be joined to the orders in scope."""
+        if MONTH_COLUMN not in facts.columns:
+            return facts
+        months = F.col(MONTH_COLUMN)
+        last_day = self.end - timedelta(days=1)
+        return facts.filter(
+            (F.substring(months, -7, 7) >= f"{self.start:%Y-%m}")
+            & (F.substring(months, 1, 7) <= f"{last_day:%Y-%m}")
+        ).drop(MONTH_COLUMN)
 
     def holds_month(self, month: Column) -> Column:
         return (month >= F.lit(self.start)) & (month < F.lit(self.end))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.schema import TABLES
-from tillroll.scope import MONTH_COLUMN
+from tillroll.scope import MONTH_COLUMN, MONTH_SEPARATOR
+from tillroll.sources import manifest
 from tillroll.sources.raw_csv import MULTILINE_TABLES, RAW_FILES, read_table
 from tillroll.tables import RetailTables
 
@@ -33,17 +37,64 @@ def load_tables(
     return store_tables(spark, raw_tables(spark, raw_root, files), target_root)
 
 
-def _write(df: DataFrame, table: str, path: str, files: int | None = None) -> None:
-    """Orders in a folder for each purchase month, so that a scan of some months opens
-    only their files; the rebalance splits big months and samples nothing. Other tables
-    keep the partitions they are read in, or get `files` even ones."""
-    if table == "orders":
-        month = F.trunc("order_purchase_timestamp", "month")
-        by_month = df.withColumn(MONTH_COLUMN, month).hint("rebalance", MONTH_COLUMN)
-        by_month.write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
+# Facts lie in folders of consecutive purchase months.
+FACTS = ("orders", "order_items", "order_payments", "order_reviews")
+FOLDER_BYTES = 256 << 20  # of values of orders, before encoding
+MIN_FOLDERS = 12
+WRITERS = 4  # tables written at once
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def month_folders(
+    orders: DataFrame, folder_bytes: int = FOLDER_BYTES, min_folders: int = MIN_FOLDERS
+) -> list[tuple[date, date]]:
+    """First and last month of each folder: consecutive months until they fill one.
+
+    Months are as many as the calendar has. Where all orders are few, folders are smaller,
+    so that there are about `min_folders`."""
+    month = F.trunc("order_purchase_timestamp", "month").alias("month")
+    sizes = (
+        orders.groupBy(month).agg(F.sum(_row_bytes(orders)).alias("bytes")).orderBy("month").collect()
+    )
+    full = min(folder_bytes, sum(r["bytes"] for r in sizes) / min_folders)
+    folders: list[list] = []
+    filled = full
+    for row in sizes:
+        if filled >= full or filled + row["bytes"] > 1.25 * full:
+            folders.append([row["month"], row["month"]])
+            filled = 0
+        folders[-1][1] = row["month"]
+        filled += row["bytes"]
+    return [tuple(f) for f in folders]
+
+
+def _folder_of(month: Column, folders: list[tuple[date, date]]) -> Column:
+    """The name of the folder that a month lies in."""
+    name = F.lit(None).cast("string")
+    for first, last in reversed(folders):
+        name = F.when(month <= F.lit(last), f"{first:%Y-%m}{MONTH_SEPARATOR}{last:%Y-%m}").otherwise(name)
+    return F.when(month.isNotNull(), name)
+
+
+def _write(df: DataFrame, path: str, files: int | None) -> None:
+    """Dated tables in a folder for some purchase months each, so that a scan of some months
+    opens only their files; the rebalance splits big folders into even files and samples
+    nothing. Other tables keep the partitions they are read in, or get `files` even ones."""
+    if MONTH_COLUMN in df.columns:
+        by_month = df.hint("rebalance", MONTH_COLUMN)
+        by_month.write.partitionBy(MONTH_COLUMN).parquet(path)
     else:
-        spread = df.repartition(files) if files else df
-        spread.write.mode("overwrite").parquet(path)
+        (df.repartition(files) if files else df).write.parquet(path)
 
 
 def store_tables(
@@ -52,34 +103,50 @@ def store_tables(
     root: str,
     files: int | None = None,
     only: Collection[str] = tuple(TABLES),
+    folder_bytes: int = FOLDER_BYTES,
 ) -> RetailTables:
-    """Write every table, or `only` some; `files` spreads each over that many files.
+    """Write every table, or `only` some, aside, and publish them together at the end.
 
-    Left out, a table keeps the partitions it was read in, without a shuffle; large
-    Parquet files split at their row groups anyway. It helps where a small table
-    would end up as one row group, which only one task can read.
+    Orders come first; the other facts are laid out by the month of their order, those
+    without one in a folder of their own. Independent tables are written side by side.
+    `files` spreads each other table over that many files. Left out, a table keeps the
+    partitions it was read in, without a shuffle. Facts written without their orders have no
+    months.
     """
-    for table in only:
-        _write(getattr(tables, table), table, f"{root}/{table}", files)
+    version = manifest.new_version()
+    dated = set(FACTS) & set(only) if "orders" in only else set()
+    folders = {t: f"{version}/{t}{manifest.DATED if t in dated else ''}" for t in only}
+    if "orders" in only:
+        months = month_folders(tables.orders, folder_bytes)
+        bought = F.trunc("order_purchase_timestamp", "month")
+        orders = tables.orders.withColumn(MONTH_COLUMN, _folder_of(bought, months))
+        _write(orders, f"{root}/{folders['orders']}", files)
+
+    def layout(table: str) -> DataFrame:
+        df = getattr(tables, table)
+        if table not in dated:
+            return df
+        orders = RetailTables.open(spark, "orders", f"{root}/{folders['orders']}", laid_out=True)
+        return df.join(orders.select("order_id", MONTH_COLUMN), "order_id", "left").select(
+            *df.columns, MONTH_COLUMN
+        )
+
+    def write(table: str) -> None:
+        _write(layout(table), f"{root}/{folders[table]}", files)
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for done in [pool.submit(write, table) for table in only if table != "orders"]:
+            done.result()
+    manifest.publish(spark, root, folders)
     return RetailTables.read(spark, root)
 
 
 def load_and_reconcile(
     spark: SparkSession, raw_root: str, target_root: str, files: Mapping[str, str] = RAW_FILES
 ) -> DataFrame:
-    """Load, and compare the rows read from the raw files with the rows stored.
-
-    Raw rows are counted as they pass to the writer, so each raw file is parsed
-    once; the stored tables are counted anew."""
-    raw = raw_tables(spark, raw_root, files)
-    seen = {}
-    for table, df in raw.items():
-        seen[table] = Observation(f"raw rows of {table}")
-        counted = df.observe(seen[table], F.count(F.lit(1)).alias("n"))
-        _write(counted, table, f"{target_root}/{table}")
-    rows = [(table, int(found.get["n"])) for table, found in seen.items()]
-    expected = spark.createDataFrame(rows, "table_name string, expected bigint")
-    return compared(expected, row_counts(dict(RetailTables.read(spark, target_root).items()), "actual"))
+    """Load, and compare the rows in the raw files with the rows stored."""
+    load_tables(spark, raw_root, target_root, files)
+    return reconcile_load(spark, raw_root, target_root, files)
 
 
 # Tables joined on a key again and again, and that key.
@@ -113,22 +180,28 @@ def store_bucketed(
     return RetailTables(lambda table: spark.table(f"{database}.{table}"))
 
 
-def row_counts(tables: dict[str, DataFrame], name: str) -> DataFrame:
-    counts = [
-        df.agg(F.count(F.lit(1)).alias(name)).select(F.lit(table).alias("table_name"), name)
-        for table, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+def fingerprints(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows of each table, and a sum and an exclusive-or over hashes of its rows: whatever
+    the order of the rows, other values or other rows give others. Layout columns are left
+    out. Both come from one query, in which a task that runs again counts once."""
+    sides = []
+    for table, df in tables.items():
+        row = F.xxhash64(*[c for c in df.columns if c != MONTH_COLUMN])
+        print_ = F.struct(F.sum(row.cast("decimal(20,0)")), F.bit_xor(row)).alias(f"{name}_print")
+        counts = df.agg(F.count(F.lit(1)).alias(name), print_)
+        sides.append(counts.select(F.lit(table).alias("table_name"), name, f"{name}_print"))
+    return reduce(DataFrame.unionByName, sides)
 
 
 def reconcile(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
-    """Row counts of both sides per table; a table missing on one side is a mismatch."""
-    return compared(row_counts(expected, "expected"), row_counts(actual, "actual"))
-
-
-def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    both = expected.join(actual, "table_name", "full_outer")
-    agrees = F.col("expected").eqNullSafe(F.col("actual"))
+    """Row counts of both sides per table. A table missing on one side is a mismatch, and so
+    are equal counts of rows that do not hold the same values."""
+    both = fingerprints(expected, "expected").join(
+        fingerprints(actual, "actual"), "table_name", "full_outer"
+    )
+    agrees = F.col("expected").eqNullSafe(F.col("actual")) & F.col("expected_print").eqNullSafe(
+        F.col("actual_print")
+    )
     return both.select(
         "table_name",
         "expected",
@@ -140,7 +213,7 @@ def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def reconcile_load(
     spark: SparkSession, raw_root: str, target_root: str, files: Mapping[str, str] = RAW_FILES
 ) -> DataFrame:
-    """What the raw files hold now against what was stored, counted anew on both sides."""
+    """What the raw files hold now against what was stored, read anew on both sides."""
     raw = raw_tables(spark, raw_root, files)
     stored = RetailTables.read(spark, target_root)
     return reconcile(dict(raw.items()), dict(stored.items()))
