@@ -439,6 +439,31 @@ def test_words_are_encoded_as_texts():
         assert np.frombuffer(ids.encode(text), dtype="<i4").tolist() == plain, text
 
 
+def test_letters_that_normalization_changes():
+    """Every such letter before and after every punctuation sign, and in a word."""
+    import unicodedata
+    from string import punctuation
+
+    ids = token_files._word_ids(queries.tokenizer_path())
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() and not unicodedata.is_normalized("NFC", c)]
+    assert len(letters) > 1_000
+    words = [w for c in letters for p in punctuation for w in (c + p, p + c)]
+    words += [w for c in letters for w in (f"a{c}b,", f"\u09ac{c}.", c * 2 + "-", "x" * 70 + c + "!")]
+    ids.clear()
+    plain = ids.tokenizer.encode_batch(words, add_special_tokens=False)
+    for word, want in zip(words, plain):
+        assert np.frombuffer(ids.encode(word), dtype="<i4").tolist() == want.ids, ascii(word)
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="not a lower-casing"):
+        token_files.WordIds(other)
+
+
 def test_token_files_are_sorted_and_pruned(spark):
     files = token_files.TokenFiles(scratch_path(spark, "pruned"), stride=1_000)
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))

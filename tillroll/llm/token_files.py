@@ -15,6 +15,7 @@ doc_id and text are read, so other columns cannot clash. An empty table gives no
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -32,6 +33,32 @@ WORD_BYTES = 64  # longer words are encoded without being remembered
 REMEMBERED = 500_000
 
 
+# How a tokenizer file of the one kind encoded here describes itself.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {
+                "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+            },
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False}
+
+
 def _byte_symbols() -> dict[int, str]:
     """The printable character that byte-level vocabularies use for each byte."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -45,9 +72,14 @@ class WordIds(dict):
     No token of this kind of tokenizer crosses white space, so a text's ids are those of
     its words. It also splits letters from what follows them. Words of letters in normal
     form go straight to the model; anything else takes the whole way through the tokenizer.
+    Tokenizers that normalize or split in another way are refused.
     """
 
     def __init__(self, tokenizer):
+        made = json.loads(tokenizer.to_str())
+        kind = {k: made["model"].get(k) for k in MODEL}
+        if (made["normalizer"], made["pre_tokenizer"], kind) != (NORMALIZER, PRE_TOKENIZER, MODEL):
+            raise ValueError("not a lower-casing byte-level tokenizer with word ends")
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.symbols = _byte_symbols()
 
@@ -76,7 +108,9 @@ class WordIds(dict):
             ids = self._letters(word)
         else:
             base = word.rstrip(punctuation)
-            if base != word and base.isalpha() and base.lower().isalpha():
+            # a letter that NFC takes apart may end in a mark, which stays with what follows
+            plain = base.isascii() or unicodedata.is_normalized("NFC", base)
+            if base != word and plain and base.isalpha() and base.lower().isalpha():
                 ids = self[base] + self[word[len(base) :]]
             else:
                 ids = self._any(word)
