@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tillroll.operators.grains import (
 from tillroll.plans.retention import cohort_counts
 from tillroll.plans.sellers import seller_stats, with_ranks
 from tillroll.scope import Scope
+from tillroll.sources import files
 from tillroll.tables import RetailTables
 
 
@@ -119,21 +122,116 @@ VIEWS = {
 }
 
 
-def register_views(tables: RetailTables, scope: Scope) -> None:
+def register_views(tables: RetailTables, scope: Scope, min_reviewed: int = 30) -> None:
+    """Make the views queryable by name. `min_reviewed` is the sellers' least number of
+    reviewed orders."""
     for name, build in VIEWS.items():
-        build(tables, scope).createOrReplaceTempView(name)
+        more = {"min_reviewed": min_reviewed} if build is seller_summary_view else {}
+        build(tables, scope, **more).createOrReplaceTempView(name)
+
+
+# Views stored by month, so that a refresh replaces only some of their folders.
+BY_MONTH = ("vw_orders", "vw_order_items")
+MONTH = "order_month"
+PRINTS = "vw_source_prints"
+
+
+def _dated(name: str, tables: RetailTables, scope: Scope) -> DataFrame:
+    """A view of single orders or lines with the month of the order."""
+    df = VIEWS[name](tables, scope)
+    if MONTH in df.columns:
+        return df
+    bought = m.month_of(F.col("order_purchase_timestamp")).alias(MONTH)
+    return df.join(scope.apply(tables.orders).select("order_id", bought), "order_id")
+
+
+def _write_by_month(df: DataFrame, path: str) -> None:
+    """The rebalance hint gives even files per month: big months are split over several
+    tasks, small ones share a task. Folders of months that `df` lacks stay as they are."""
+    (
+        df.hint("rebalance", MONTH)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(MONTH)
+        .parquet(path)
+    )
 
 
-def write_views(tables: RetailTables, scope: Scope, root: str) -> None:
-    """Store the views for many readers; orders are laid out by month.
+def source_prints(tables: RetailTables, scope: Scope) -> DataFrame:
+    """(order_month, print) for what the rows of each month are made of: orders, customers,
+    lines and reviews; and one row without a month for sellers and product categories."""
+    month = m.month_of(F.col("order_purchase_timestamp")).alias(MONTH)
+    orders = with_person(scope.apply(tables.orders), tables.customers)
+
+    def per_order(name: str) -> DataFrame:
+        df = tables.near(name, scope)
+        row = F.xxhash64(*df.columns).cast("decimal(20,0)")
+        return df.groupBy("order_id").agg(F.sum(row).alias(f"_{name}"))
+
+    children = ["order_items", "order_reviews"]
+    whole = orders.select("order_id", month, F.xxhash64(*orders.columns).alias("_order"))
+    for name in children:
+        whole = whole.join(per_order(name), "order_id", "left")
+    row = F.xxhash64("_order", *[f"_{name}" for name in children])
+    months = whole.groupBy(MONTH).agg(F.sum(row.cast("decimal(20,0)")).alias("print"))
+    for name, df in (("sellers", tables.sellers), ("categories", product_categories(tables))):
+        row = F.xxhash64(F.lit(name), *df.columns).cast("decimal(20,0)")
+        months = months.unionByName(
+            df.agg(F.sum(row).alias("print")).withColumn(MONTH, F.lit(None).cast("date"))
+        )
+    return months.groupBy(MONTH).agg(F.sum("print").alias("print"))
+
 
-    The rebalance hint gives even files per month: big months are split over
-    several tasks, small ones share a task.
-    """
+def _write_rows(tables: RetailTables, window: Scope, root: str) -> None:
+    for name in BY_MONTH:
+        _write_by_month(_dated(name, tables, window), f"{root}/{name}")
+
+
+def _write_rest(tables: RetailTables, scope: Scope, root: str, prints: DataFrame) -> None:
+    """The views over all months, and last what all of them were made of."""
     for name, build in VIEWS.items():
-        df = build(tables, scope)
-        if name == "vw_orders":
-            df = df.hint("rebalance", "order_month")
-            df.write.mode("overwrite").partitionBy("order_month").parquet(f"{root}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        if name not in BY_MONTH:
+            build(tables, scope).write.mode("overwrite").parquet(f"{root}/{name}")
+    prints.write.mode("overwrite").parquet(f"{root}/{PRINTS}")
+
+
+def write_views(tables: RetailTables, scope: Scope, root: str) -> None:
+    """Store the views for many readers; orders and lines are laid out by month."""
+    spark = tables.orders.sparkSession
+    for name in (*BY_MONTH, PRINTS):
+        files.remove(spark, f"{root}/{name}")
+    _write_rows(tables, scope, root)
+    _write_rest(tables, scope, root, source_prints(tables, scope).coalesce(1))
+
+
+def refresh_views(tables: RetailTables, scope: Scope, root: str) -> list[date]:
+    """Bring the stored views up to date, writing only the months whose sources have changed.
+
+    Sources are read once for their prints; after that only the changed months, each in a
+    scan of its own, which opens few files where tables are laid out by month. Changed
+    sellers or categories, or views that a failed run has left without prints, mean writing
+    everything. The prints are written last, so a refresh that fails is done again by the
+    next one. Returns the months written or removed."""
+    spark = tables.orders.sparkSession
+    if not files.exists(spark, f"{root}/{PRINTS}/_SUCCESS"):
+        write_views(tables, scope, root)
+        return sorted(r[MONTH] for r in spark.read.parquet(f"{root}/{PRINTS}").collect() if r[MONTH])
+    # one row for each month of the scope
+    rows = source_prints(tables, scope).collect()
+    new = {r[MONTH]: r["print"] for r in rows}
+    old = {r[MONTH]: r["print"] for r in spark.read.parquet(f"{root}/{PRINTS}").collect()}
+    if new.get(None) != old.get(None):
+        write_views(tables, scope, root)
+        return sorted(k for k in {*new, *old} if k)
+    changed = sorted(k for k in {*new, *old} if k and new.get(k) != old.get(k))
+    for month in changed:
+        if month in new:
+            _write_rows(tables, scope.within_month(month), root)
+        # what had rows and has none, as a whole or in the view of lines
+        for name in BY_MONTH:
+            if month not in new or _dated(name, tables, scope.within_month(month)).isEmpty():
+                files.remove(spark, f"{root}/{name}/{MONTH}={month:%Y-%m-%d}")
+    if changed:
+        prints = spark.createDataFrame(rows, f"{MONTH} date, print decimal(38,0)")
+        _write_rest(tables, scope, root, prints.coalesce(1))
+    return changed

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,11 @@ class Scope:
     end: date = date(2018, 9, 1)
     status: str = "delivered"
 
+    def within_month(self, month: date) -> Scope:
+        """The part of the window that lies in the month of that first day."""
+        after = (month.replace(day=28) + timedelta(days=4)).replace(day=1)
+        return replace(self, start=max(self.start, month), end=min(self.end, after))
+
     def has_status(self, orders: DataFrame) -> DataFrame:
         return orders.filter(F.col("order_status") == self.status)
 

@@ -12,64 +12,34 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tillroll.sources import files
+
 MANIFEST = "_manifest.json"
 DATED = "-by-month"  # ends the name of a folder laid out by purchase month
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(conf), place
-
-
 def new_version() -> str:
     return f"versions/{uuid.uuid4().hex}"
 
 
 def published(spark: SparkSession, root: str) -> dict[str, str]:
     """The folder of each table, relative to `root`; empty if nothing has been published."""
-    files, place = _file_system(spark, f"{root}/{MANIFEST}")
-    if not files.exists(place):
-        return {}
-    stream = files.open(place)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    path = f"{root}/{MANIFEST}"
+    return json.loads(files.read_text(spark, path)) if files.exists(spark, path) else {}
 
 
 def publish(spark: SparkSession, root: str, folders: dict[str, str]) -> None:
     """Make `folders` the current ones of their tables; other tables keep theirs."""
-    jvm = spark.sparkContext._jvm
-    files, place = _file_system(spark, f"{root}/{MANIFEST}")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest-{uuid.uuid4().hex}")
-    stream = files.create(aside, False)
-    try:
-        text = json.dumps({**published(spark, root), **folders}, indent=1, sort_keys=True)
-        stream.write(bytearray(text, "utf-8"))
-    finally:
-        stream.close()
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
-    )
-    context.rename(files.makeQualified(aside), files.makeQualified(place), how)
+    current = {**published(spark, root), **folders}
+    files.replace_text(spark, f"{root}/{MANIFEST}", json.dumps(current, indent=1, sort_keys=True))
 
 
 def remove_unpublished(spark: SparkSession, root: str) -> list[str]:
     """Delete the folders of loads that failed or were replaced; returns their names.
 
     For a time when no load is running and no reader uses an older version."""
-    files, place = _file_system(spark, f"{root}/versions")
-    if not files.exists(place):
-        return []
     kept = {folder.split("/")[1] for folder in published(spark, root).values()}
-    gone = []
-    for status in files.listStatus(place):
-        name = status.getPath().getName()
-        if name not in kept:
-            files.delete(status.getPath(), True)
-            gone.append(name)
-    return sorted(gone)
+    gone = [name for name in files.names(spark, f"{root}/versions") if name not in kept]
+    for name in gone:
+        files.remove(spark, f"{root}/versions/{name}")
+    return gone
