@@ -90,3 +90,27 @@ def test_every_row_is_stored(shop, by_month):
         stored = getattr(by_month, name).select(*TABLES[name].schema.names)
         assert sorted(map(repr, rows(stored))) == sorted(map(repr, rows(df)))
     assert {r.status for r in store.reconcile(dict(shop.items()), dict(by_month.items())).collect()} == {"OK"}
+
+
+def test_appended_rows_lie_in_their_months(spark, shop, tmp_path):
+    root = str(tmp_path)
+    first = shop.orders.filter("order_purchase_timestamp < TIMESTAMP_NTZ '2018-03-10 00:00:00'")
+    rest = shop.orders.join(first.select("order_id"), "order_id", "left_anti")
+    ids = first.select("order_id")
+    part = type(shop)(
+        lambda name: first if name == "orders"
+        else getattr(shop, name).join(ids, "order_id", "left_semi") if name in FACTS
+        else getattr(shop, name)
+    )
+    store.store_tables(spark, part, root, folder_bytes=1)
+    store.append_rows(spark, root, "orders", rest)
+    for name in FACTS[1:]:
+        later = getattr(shop, name).join(ids, "order_id", "left_anti")
+        store.append_rows(spark, root, name, later)
+    store.append_rows(spark, root, "sellers", shop.sellers.limit(0))
+    tables = type(shop).read(spark, root)
+    assert {r.status for r in store.reconcile(dict(shop.items()), dict(tables.items())).collect()} == {"OK"}
+    for window in ((date(2018, 3, 1), date(2018, 4, 1)), (date(2018, 5, 2), date(2018, 6, 1))):
+        scope = Scope(*window)
+        assert 0 < opened(tables.near("order_items", scope)) < len(tables.order_items.inputFiles()) / 2
+        assert rows(trend.monthly_revenue(tables, scope)) == rows(trend.monthly_revenue(shop, scope))

@@ -97,6 +97,33 @@ def _write(df: DataFrame, path: str, files: int | None) -> None:
         (df.repartition(files) if files else df).write.parquet(path)
 
 
+def _by_order_month(spark: SparkSession, df: DataFrame, orders_path: str) -> DataFrame:
+    """Rows with the folder of their order; none for rows without an order."""
+    orders = RetailTables.open(spark, "orders", orders_path, laid_out=True)
+    return df.join(orders.select("order_id", MONTH_COLUMN), "order_id", "left").select(
+        *df.columns, MONTH_COLUMN
+    )
+
+
+def append_rows(spark: SparkSession, root: str, table: str, rows: DataFrame) -> None:
+    """Add rows to a stored table, facts to the folders of the months they belong to.
+
+    Append orders before their items, payments and reviews. A folder that is new may overlap
+    older ones in its months; scopes open all that may hold theirs."""
+    folders = manifest.published(spark, root)
+    rows = rows.select(*TABLES[table].schema.names)
+    if folders[table].endswith(manifest.DATED):
+        if table == "orders":
+            bought = F.trunc("order_purchase_timestamp", "month")
+            rows = rows.withColumn(MONTH_COLUMN, _folder_of(bought, month_folders(rows)))
+        else:
+            rows = _by_order_month(spark, rows, f"{root}/{folders['orders']}")
+        writer = rows.hint("rebalance", MONTH_COLUMN).write.partitionBy(MONTH_COLUMN)
+    else:
+        writer = rows.write
+    writer.mode("append").parquet(f"{root}/{folders[table]}")
+
+
 def store_tables(
     spark: SparkSession,
     tables: RetailTables,
@@ -126,10 +153,7 @@ def store_tables(
         df = getattr(tables, table)
         if table not in dated:
             return df
-        orders = RetailTables.open(spark, "orders", f"{root}/{folders['orders']}", laid_out=True)
-        return df.join(orders.select("order_id", MONTH_COLUMN), "order_id", "left").select(
-            *df.columns, MONTH_COLUMN
-        )
+        return _by_order_month(spark, df, f"{root}/{folders['orders']}")
 
     def write(table: str) -> None:
         _write(layout(table), f"{root}/{folders[table]}", files)
