@@ -455,13 +455,14 @@ def test_letters_that_normalization_changes():
         assert np.frombuffer(ids.encode(word), dtype="<i4").tolist() == want.ids, ascii(word)
 
 
-def test_tokenizers_of_another_kind_are_refused():
+def test_tokenizers_of_another_kind_are_refused(spark):
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.refuse_others(queries.tokenizer_path())
+    files = token_files.TokenFiles(scratch_path(spark, "refused"))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(ValueError, match="not a lower-casing"):
-        token_files.WordIds(other)
+        token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), files)
 
 
 def test_token_files_are_sorted_and_pruned(spark):

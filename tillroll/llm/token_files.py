@@ -66,20 +66,25 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
+def refuse_others(path: str) -> None:
+    """An error for a tokenizer file that normalizes or splits words in another way."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    kind = {k: made["model"].get(k) for k in MODEL}
+    if (made["normalizer"], made["pre_tokenizer"], kind) != (NORMALIZER, PRE_TOKENIZER, MODEL):
+        raise ValueError("not a lower-casing byte-level tokenizer with word ends")
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian bytes, remembered.
 
     No token of this kind of tokenizer crosses white space, so a text's ids are those of
     its words. It also splits letters from what follows them. Words of letters in normal
     form go straight to the model; anything else takes the whole way through the tokenizer.
-    Tokenizers that normalize or split in another way are refused.
+    Only for tokenizers that `refuse_others` lets pass.
     """
 
     def __init__(self, tokenizer):
-        made = json.loads(tokenizer.to_str())
-        kind = {k: made["model"].get(k) for k in MODEL}
-        if (made["normalizer"], made["pre_tokenizer"], kind) != (NORMALIZER, PRE_TOKENIZER, MODEL):
-            raise ValueError("not a lower-casing byte-level tokenizer with word ends")
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.symbols = _byte_symbols()
 
@@ -164,7 +169,9 @@ ROWS_SQL = "part int, doc_id long, start_in_part long, n_tokens int, ids array<i
 def write_tokens(docs: DataFrame, tokenizer_path: str, files: TokenFiles) -> None:
     """Encode every text and write the files and their manifest.
 
-    `tokenizer_path` names a file that every executor has, such as one of a package."""
+    `tokenizer_path` names a file that the driver and every executor have, such as one of a
+    package."""
+    refuse_others(tokenizer_path)
     end = np.array([files.end_id], dtype="<i4").tobytes()
 
     def encode(batches):
