@@ -55,6 +55,7 @@ def corpus(rng):
 def test_jaccard_components(spark, monkeypatch, max_group, ngram, percent):
     monkeypatch.setattr(jaccard_join, "MAX_GROUP", max_group)
     monkeypatch.setattr(jaccard_join, "MAX_FAMILY", 2_048 if max_group > 8 else 3)
+    monkeypatch.setattr(jaccard_join, "KEY_BYTES", 64 << 20 if max_group > 8 else 6_000)
     texts = corpus(random.Random(max_group + ngram))
     how = jaccard_join.Similarity(ngram, percent)
     got = jaccard_join.near_duplicates(frame(spark, texts), how).collect()

@@ -45,6 +45,7 @@ from .text import Chunk, chunks, mix, ranges, window_hashes
 MAX_GROUP = 512
 MAX_FAMILY = 2_048
 BIN_BYTES = 16 << 20
+KEY_BYTES = 64 << 20
 LOST = 2.0**-60
 EXACT_OCTAVE = 10
 
@@ -404,6 +405,32 @@ def _compared(rows: DataFrame, how: Similarity) -> DataFrame:
     return binned.groupBy("bin").applyInArrow(compare, LINKS_SQL)
 
 
+BIN_COLUMNS = ["bin", "rep", "component", "gids", "set"]
+
+
+def _compared_by_key(rows: DataFrame, how: Similarity) -> DataFrame:
+    """Links (u, v) between the components that meet in each group of a bin's rows (bin, rep,
+    component, gids, set)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+        tokens, counts = unpack_keys(table["set"])
+        starts = np.cumsum(counts) - counts
+        gids = table["gids"].combine_chunks()
+        row = np.repeat(np.arange(len(table)), gids.value_lengths().to_numpy())
+        gid = gids.flatten().to_numpy()
+        order = np.lexsort((rep[row], counts[row], gid))
+        cuts = np.flatnonzero(np.diff(gid[order])) + 1
+        links: set[tuple] = set()
+        for group in np.split(row[order], cuts):
+            found = [tokens[starts[i] : starts[i] + counts[i]] for i in group]
+            links.update(links_between(rep[group], component[group], found, how))
+        columns = list(zip(*sorted(links))) or [(), ()]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=LINKS)
+
+    return rows.groupBy("bin").applyInArrow(compare, LINKS_SQL)
+
+
 def _candidate_sets(docs: DataFrame, shared: DataFrame, how: Similarity) -> DataFrame:
     """(rep, gid, set): the whole token sets of the classes that share a key."""
 
@@ -471,10 +498,9 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
     # A pivot is its group's least set, so a component has one name in all parts that it is in.
     links = written(_compared(inside, how), "links-inside")
     named = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
-    meeting = written(_meetings(shared, sets, named, columns), "meetings")
-    return rows, written(
-        links.unionByName(_compared(meeting, how)).unionByName(same_id), "links"
-    )
+    by_bin, blocks = _meetings(shared, sets, named, columns)
+    across = _compared_by_key(by_bin, how).unionByName(_compared(written(blocks, "blocks"), how))
+    return rows, written(links.unionByName(across).unionByName(same_id), "links")
 
 
 def _every_part():
@@ -483,19 +509,20 @@ def _every_part():
 
 def _meetings(
     shared: DataFrame, sets: DataFrame, named: DataFrame, columns: list[str]
-) -> DataFrame:
-    """Rows to compare where different components still meet at a key.
-
-    Sets connected by such keys are a family, and a family is one group: each of its sets
-    moves once. A family of more than MAX_FAMILY sets is taken key by key instead: the sets
-    of a key are a group, in parts of MAX_GROUP or fewer, and those outside its largest
-    component are its queries, to all parts."""
-    by_key = shared.select("rep", F.explode("keys").alias("gid")).join(named, "rep", "left")
+) -> tuple[DataFrame, DataFrame]:
+    """Sets to compare where different components still meet at a key, by bin and in blocks.
+
+    Sets connected by such keys are a family. One of up to MAX_FAMILY sets and KEY_BYTES is one
+    group. In a larger one each key's sets are a group, and its keys are dealt to bins, to each
+    of which a set moves once with all its keys there. A key with more than KEY_BYTES of sets is
+    dealt in blocks: parts of its sets, each with parts of those outside its largest component."""
+    by_key = shared.select("rep", "n", F.explode("keys").alias("gid")).join(named, "rep", "left")
     by_key = written(by_key.withColumn("component", F.coalesce("component", "rep")), "matrix")
     meeting = (
         by_key.groupBy("gid", "component")
         .agg(
             F.count("*").alias("n"),
+            F.sum(8 * F.col("n")).alias("bytes"),
             F.min("rep").alias("least"),
             F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("reps"),
         )
@@ -505,43 +532,63 @@ def _meetings(
             F.sum("n").alias("members"),
             F.sum("reps").alias("reps"),
             F.min("least").alias("least"),
-            F.max(F.struct("n", "component")).alias("largest"),
+            F.sum("bytes").alias("bytes"),
+            F.max(F.struct("bytes", "component")).alias("largest"),
         )
         .where("components > 1")
         # keys of the same sets are one group
         .groupBy("members", "reps", "least")
-        .agg(F.min(F.struct("gid", "largest")).alias("first"))
-        .select("first.gid", "first.largest", "members", "least")
-    )
-    open_ = written(
-        by_key.join(meeting, "gid").select(
-            "gid", "rep", "component", "least", "members", F.col("largest.component").alias("main")
-        ),
-        "meeting-keys",
+        .agg(F.min(F.struct("gid", "largest", "bytes")).alias("first"))
+        .select("first.*", "least")
     )
+    open_ = written(by_key.join(meeting, "gid"), "meeting-keys")
     families = components(open_.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     families = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    reps = open_.select("rep", "component").distinct().join(families, "rep")
-    size = reps.groupBy("family").agg(F.count("*").alias("sets"))
+    reps = open_.select("rep", "component", (8 * F.col("n")).alias("size")).distinct()
+    reps = reps.join(families, "rep")
+    size = reps.groupBy("family").agg(F.count("*").alias("sets"), F.sum("size").alias("total"))
     sized = written(reps.join(size, "family"), "families")
-    small = sized.where(F.col("sets") <= MAX_FAMILY).select(
-        F.col("family").alias("gid"), F.lit(0).alias("part"), "rep", "component",
-        F.lit(False).alias("query"),
+    small = (F.col("sets") <= MAX_FAMILY) & (F.col("total") <= KEY_BYTES)
+    some = 1 + (sized.where(small).agg(F.sum("size")).first()[0] or 0) // BIN_BYTES
+    whole = sized.where(small).select(
+        F.pmod(F.xxhash64("family"), F.lit(some)).alias("bin"), "rep", "component",
+        F.array("family").alias("gids"),
     )
-    large = sized.where(F.col("sets") > MAX_FAMILY).select("rep")
-    keyed = (
-        open_.join(large, "rep")
-        .withColumn("cut", F.ceil(F.col("members") / MAX_GROUP))
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    large = sized.where(~small).select("rep", "family")
+    keyed = written(open_.join(large, "rep"), "large-families")
+    plain = keyed.where(F.col("bytes") <= KEY_BYTES)
+    bins = plain.groupBy("family").agg(F.ceil(F.sum(8 * F.col("n")) / KEY_BYTES).alias("bins"))
+    dealt = (
+        plain.join(bins, "family")
+        .withColumn("bin", F.xxhash64("family", F.pmod(F.xxhash64("gid"), F.col("bins"))))
+        .groupBy("bin", "rep", "component")
+        .agg(F.collect_list("gid").alias("gids"))
+    )
+    held = sets.select("rep", "set")
+    by_bin = dealt.unionByName(whole).join(held, "rep").select(*BIN_COLUMNS)
+    return by_bin, _blocks(keyed.where(F.col("bytes") > KEY_BYTES)).join(held, "rep").select(*columns)
+
+
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """Sets of keys too large for one task, as blocks: a part of the members, and a part of the
+    sets that ask, those outside the largest component. Each task has 2 * KEY_BYTES at most."""
+    asking = F.col("bytes") - F.col("largest.bytes")
+    rows = keyed.withColumns(
+        {
+            "parts": F.ceil(F.col("bytes") / KEY_BYTES).cast("int"),
+            "asks": F.ceil(asking / KEY_BYTES).cast("int"),
+        }
     )
-    asking = keyed.where("component <> main").drop("part").withColumn("part", _every_part())
-    placed = (
-        keyed.withColumn("query", F.lit(False))
-        .unionByName(asking.withColumn("query", F.lit(True)))
-        .select(*small.columns)
-        .unionByName(small)
+    of = F.xxhash64("rep")
+    member = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    member = member.withColumn("part", F.pmod(of, "parts") * F.col("asks") + F.col("other"))
+    query = rows.where(F.col("component") != F.col("largest.component"))
+    query = query.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    query = query.withColumn("part", F.col("other") * F.col("asks") + F.pmod(of, "asks"))
+    blocks = member.withColumn("query", F.lit(False)).unionByName(
+        query.withColumn("query", F.lit(True))
     )
-    return placed.join(sets.select("rep", "set"), "rep").select(*columns)
+    return blocks.select("gid", F.col("part").cast("int"), "rep", "component", "query")
 
 
 def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
