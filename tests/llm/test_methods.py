@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,6 +65,42 @@ def test_jaccard_components(spark, monkeypatch, max_group, ngram, percent):
     assert len(set(expected.values())) < len(texts) - 60
 
 
+LONG = "words of a paragraph that goes on for long enough to count as text " * 2
+KEPT = [
+    f'<form id="aspnetForm"><div><p>{LONG}</p><p>{LONG}</p></div></form>',
+    f"<form><main><h1>Title</h1><p>{LONG}</p></main></form>",
+    f'<main><h2 id="related">Related work</h2><p>{LONG}</p></main>',
+    f'<main><p>{LONG}</p><section id="legal"><p>{LONG}</p></section></main>',
+    f'<main><p>{LONG}</p><div class="market-share"><p>{LONG}</p></div></main>',
+    f'<main><p>{LONG}</p><p class="notice">Short</p></main>',
+    f'<main><p>{LONG}</p><figure class="widget"><figcaption>Short</figcaption></figure></main>',
+    "<main><p>Press <button>OK</button> to go on.</p></main>",
+    "<p>One short paragraph.</p>",
+]
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_text_is_kept_whatever_it_is_named(page):
+    plain = re.sub("</(p|h1|h2|figcaption)>", "\n", page)
+    lines = [" ".join(line.split()) for line in re.sub("<[^>]*>", "", plain).split("\n")]
+    assert html_text.main_text(page).split("\n") == [line for line in lines if line]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<form><p>Subscribe to our letters now</p><input></form>",
+        '<p class="ad">Buy now</p>', '<div class="social-share">Tell others</div>',
+        '<div class="page-footer">All rights reserved</div>', "<button>Share</button>",
+        f'<div class="cookie-notice"><p>{LONG}</p></div>', f'<div id="comments"><p>{LONG}</p></div>',
+        "<fieldset><legend>Search</legend><p>Your words</p></fieldset>",
+    ],
+)
+def test_parts_around_the_text_are_dropped(part):
+    text = LONG.strip()
+    assert html_text.main_text(f"<main><p>{LONG}</p>{part}<p>{LONG}</p></main>") == f"{text}\n{text}"
+
+
 def test_segment_keys_meet_for_every_close_pair():
     rng = np.random.default_rng(1)
     for n in (6, 7, 11, 12, 16, 31, 63, 64, 200, 511, 700, 3000):

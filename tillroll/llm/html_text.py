@@ -8,7 +8,8 @@ a whole page at a time; nothing is shuffled.
 
 Markup that is broken off or never closed is read as far as it goes. A null or empty page
 has an empty text. White space in a block becomes one space; blocks are joined by \\n in
-page order; nothing is cut. Equal pages give equal texts, other columns pass through.
+page order; nothing is cut. A form that holds most of the page's text is no part of its own.
+Equal pages give equal texts, other columns pass through.
 """
 
 from __future__ import annotations
@@ -41,7 +42,10 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 MAIN = frozenset(["article", "main"])
-SIDE = frozenset("nav footer aside form dialog menu button head fieldset".split())
+SIDE = frozenset("nav footer aside dialog menu button head".split())
+FORMS = frozenset(["form", "fieldset"])
+# Elements that are text themselves: a name on them is an anchor or a style, not a part.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p figure figcaption blockquote pre".split())
 # Names that sites give to parts around the text (in class, id or role).
 SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
@@ -51,6 +55,8 @@ SIDE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search form copyright legal disclaimer "
     "comment comments disqus respond reply replies discussion complementary contentinfo".split()
 )
+# Of these, adverts, which a paragraph's class may mark as well.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
 # Of these, parts that hold the articles of others.
 COMMENTS = frozenset("comment comments disqus respond reply replies discussion".split())
 # Words beside a side word that leave it the name's meaning, and words that change it.
@@ -58,6 +64,12 @@ PLAIN = frozenset(
     "box wrap wrapper container area block section list item items inner outer slot unit bar "
     "panel group link links button buttons icon icons post posts article articles".split()
 )
+# Side words that are common words too: at the end of a name they count after these only.
+COMMON = frozenset(
+    "share sharing legal search form side notice notices alert comment discussion reply replies "
+    "copyright banner promotion subscription related recommended disclaimer".split()
+)
+PLACES = frozenset("site page main top bottom left right user blog entry content js".split())
 STATES = frozenset("no not non has have with without and or hide free long".split())
 
 TOKEN = re.compile(
@@ -104,6 +116,8 @@ LABELLED = (
     (20, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, True), (300, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, True),
     (4, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, True), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0, True),
     (6, 0.0, 55, 0.0, 4, 0.0, 0, 0, 0, True), (18, 0.1, 20, 0.0, 30, 0.0, 0, 0, 0, True),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, True), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, True),
+    (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, True), (14, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, True),
     (35, 0.2, 4, 0.0, 25, 0.1, 0, 0, 0, True), (16, 0.0, 16, 0.0, 16, 0.0, 0, 0, 0, True),
     # ... and what surrounds it
     (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, False), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, False),
@@ -174,6 +188,9 @@ def _side_word(name: str, in_main: bool) -> str | None:
     if not parts or not STATES.isdisjoint(parts):
         return None
     word = parts[0] if PLAIN.issuperset(parts[1:]) else parts[-1]
+    before = frozenset(parts[:-1])
+    if word in COMMON and word != parts[0] and not before <= PLAIN | PLACES | SIDE_NAMES:
+        return None
     return word if word in SIDE_NAMES and not (word == "header" and in_main) else None
 
 
@@ -191,26 +208,31 @@ def _marks(name: str, attributes: str, in_main: bool) -> tuple[bool, int]:
                 side = FIRM if value.lower() != "false" else side
             elif name not in ("html", "body"):
                 main |= key == "role" and "main" in value.lower().split()
-                if name not in MAIN:
+                anchor = key == "id" and name == "section" and in_main
+                if name not in MAIN and name not in TEXT and not anchor:
                     words = {_side_word(v, in_main) for v in value.split()} - {None}
                     if words:
                         side = max(side, NAMED if COMMENTS.isdisjoint(words) else FIRM)
+                elif name == "p" and key == "class":
+                    words = {_side_word(v, in_main) for v in value.split()}
+                    side = side if ADVERTS.isdisjoint(words) else max(side, NAMED)
     return main, CLEAR if main and side == NAMED else side
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """Text, link density, and whether it is in the main part or in one around it."""
-    out: list[tuple[str, float, bool, int]] = []
-    open_: list[tuple[str, bool, int]] = []  # element, in main, how far in a part around it
+    out: list[tuple[str, float, bool, int, int]] = []
+    # element, in main, how far in a part around it, number of the outermost form (0: none)
+    open_: list[tuple[str, bool, int, int]] = []
     pieces: list[str] = []
-    linked = links = last = 0
+    linked = links = last = forms = buttons = 0
 
     def close_block():
         nonlocal linked
         words = html.unescape("".join(pieces)).split() if pieces else ()
         if words:
-            _, main, side = open_[-1] if open_ else ("", False, CLEAR)
-            out.append((" ".join(words), min(1.0, linked / len(words)), main, side))
+            _, main, side, form = open_[-1] if open_ else ("", False, CLEAR, 0)
+            out.append((" ".join(words), min(1.0, linked / len(words)), main, side, form))
         pieces.clear()
         linked = 0
 
@@ -242,8 +264,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             elif name == "br":
                 pieces.append(" ")
             continue
+        if name == "button" and (buttons if token["end"] else any(not p.isspace() for p in pieces)):
+            buttons += -1 if token["end"] else 1  # within a line of text
+            continue
         close_block()
-        links = 0
+        links = buttons = 0
         if name in VOID:
             continue
         if token["end"]:
@@ -256,18 +281,34 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             open_.pop()
         elif open_ and open_[-1][0] == "p":
             open_.pop()
-        _, main, side = open_[-1] if open_ else ("", False, CLEAR)
+        _, main, side, form = open_[-1] if open_ else ("", False, CLEAR, 0)
+        if name in FORMS and not form:
+            forms += 1
+            form = forms
         opens_main, opens_side = _marks(name, token["attributes"], main)
         if opens_main and side < FIRM:
             side = min(side, DOUBTFUL) if name == "article" else CLEAR
-        open_.append((name, main or opens_main, max(side, opens_side)))
+        open_.append((name, main or opens_main, max(side, opens_side), form))
     add(page[last:])
     close_block()
+    around = _around_the_page(out)
+    out = [(*block, side if form in around else FIRM) for *block, side, form in out]
     clear = any(main and side == CLEAR for _, _, main, side in out)
     most = CLEAR if clear else DOUBTFUL
     return [(text, density, main, side > most) for text, density, main, side in out]
 
 
+def _around_the_page(found: list[tuple[str, float, bool, int, int]]) -> set[int]:
+    """Forms that are no part of the page but hold it: more than half of the words that are
+    neither linked nor in a part around the text. 0 stands for no form."""
+    words: dict[int, float] = {0: 0.0}
+    for text, density, _, side, form in found:
+        if side < NAMED:
+            words[form] = words.get(form, 0.0) + (text.count(" ") + 1) * (1 - density)
+    total = sum(words.values())
+    return {0} | {form for form, n in words.items() if 2 * n > total}
+
+
 def main_text(page: str | None, tree: Node | bool | None = None) -> str:
     found = blocks(page) if page else []
     if not found:
