@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .session import fresh_name, written
-from .text import CONTINUATION, LOWER, WHITE, Chunk, Words, chunks
+from .text import LOWER, Chunk, Words, chunks
 
 KEYS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
@@ -29,18 +29,16 @@ KEYS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())
 def _keys(chunk: Chunk, min_chars: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """All lines; which are long enough; two hashes of the trimmed lower-case line."""
     lines = chunk.lines()
-    solid = np.flatnonzero(~WHITE[chunk.data])
-    first = np.searchsorted(solid, lines.starts)
-    last = np.searchsorted(solid, lines.ends) - 1
-    blank = last < first
-    starts = np.where(blank, lines.starts, solid[np.minimum(first, max(len(solid) - 1, 0))]
-                      if len(solid) else lines.starts)
-    ends = np.where(blank, lines.starts, solid[np.maximum(last, 0)] + 1
-                    if len(solid) else lines.starts)
-    upto = np.concatenate([[0], np.cumsum(~CONTINUATION[chunk.data])])
-    long_enough = upto[ends] - upto[starts] >= min_chars
+    words = chunk.words()
+    first = np.searchsorted(words.starts, lines.starts)
+    last = np.searchsorted(words.ends, lines.ends, side="right") - 1
+    filled = np.flatnonzero(last >= first)
+    starts, ends = lines.starts.copy(), lines.starts.copy()
+    starts[filled] = words.starts[first[filled]]
+    ends[filled] = words.ends[last[filled]]
     lowered = Chunk(chunk.first, LOWER[chunk.data], chunk.offsets)
     spans = Words(starts, ends, lines.bounds)
+    long_enough = chunk.chars(spans) >= min_chars
     return lines, long_enough, lowered.hashes(spans, 0), lowered.hashes(spans, 1)
 
 

@@ -337,7 +337,7 @@ class PieceCodec:
         if not len(starts):
             return Lists(np.zeros(0, dtype=np.int32), np.zeros(len(chunk) + 1, dtype=np.int64))
         one, two = (
-            span_hashes(_BYTE_VALUES[f][data], starts, ends, _BYTE_STEP[f]) for f in (0, 1)
+            span_hashes(data, starts, ends, _BYTE_STEP[f], _BYTE_VALUES[f]) for f in (0, 1)
         )
         order = np.lexsort((two, one))
         new = np.ones(len(order), dtype=bool)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import fresh_name
-from .text import CONTINUATION, byte_table, chunks, covered, later_repeats, mix, repeated
+from .text import byte_table, chunks, covered, later_repeats, mix, repeated
 from .text import window_hashes
 
 SYMBOLS = byte_table(b"#*$%&|<>")
@@ -63,9 +63,7 @@ def _measure(texts: pa.Array, rules: Rules) -> pa.Array:
     for chunk in chunks(texts):
         words, lines = chunk.words(), chunk.lines()
         hashes = chunk.hashes(words)
-        letters = ~CONTINUATION[chunk.data]
-        upto = np.concatenate([[0], np.cumsum(letters)])
-        chars = upto[words.ends] - upto[words.starts]
+        chars = chunk.chars(words)
 
         def per_text(mask, weights=chars, words=words):
             return np.bincount(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +40,22 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 CONTINUATION = byte_table(range(0x80, 0xC0))
 
 
-class Powers:
-    """Powers of an odd step and of its inverse modulo 2^64, extended when needed."""
+TILE = 1 << 16  # positions whose powers are kept; longer arrays are summed tile by tile
 
-    def __init__(self, step: int):
-        self.steps = (step, pow(step, -1, 2**64))
-        self.size = 0
 
-    def get(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if size > self.size:
-            self.size = max(size, 2 * self.size, 1 << 16)
-            self.tables = []
-            for step in self.steps:
-                table = np.full(self.size, step, dtype=np.uint64)
-                table[0] = 1
-                self.tables.append(np.multiply.accumulate(table))
-        return self.tables[0][:size], self.tables[1][:size]
+@cache
+def _powers(step: int, size: int) -> np.ndarray:
+    """step^0 .. step^(size - 1) modulo 2^64."""
+    table = np.full(size, step, dtype=np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
 
 
-_POWERS: dict[int, Powers] = {}
+def _tile_powers(step: int, tiles: int) -> np.ndarray:
+    """Powers of the step at the beginning of each tile."""
+    table = np.full(tiles, pow(step, TILE, 2**64), dtype=np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,14 +68,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _ascending(places: np.ndarray) -> bool:
+    return bool((places[1:] >= places[:-1]).all())
+
+
+def _prefix_sums(
+    values: np.ndarray, table: np.ndarray | None, step: int, places: list[np.ndarray]
+) -> list[np.ndarray]:
+    """For each array of places p: the sums of values[i] * step^i over i < p.
+
+    Places in ascending order are served tile by tile, so nothing grows with the values;
+    for others all sums are held, 8 bytes a value."""
+    n = len(values)
+    if not all(map(_ascending, places)):
+        (sums,) = _prefix_sums(values, table, step, [np.arange(n + 1)])
+        return [sums[p] for p in places]
+    tiles = n // TILE + 1
+    up, far = _powers(step, TILE), _tile_powers(step, tiles)
+    found = [np.empty(len(p), dtype=np.uint64) for p in places]
+    cuts = [np.searchsorted(p, np.arange(tiles + 1) * TILE) for p in places]
+    before = np.zeros(1, dtype=np.uint64)
+    for k in range(tiles):
+        begin = k * TILE
+        part = values[begin : begin + TILE]
+        part = part if table is None else table[part]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        sums = sums * far[k] + before
+        for p, out, cut in zip(places, found, cuts):
+            here = slice(cut[k], cut[k + 1])
+            out[here] = sums[p[here] - begin]
+        before = sums[-1:]
+    return found
+
+
 def span_hashes(
-    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
+    values: np.ndarray,
+    starts: np.ndarray,
+    ends: np.ndarray,
+    step: int,
+    table: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Polynomial hash of values[start:end], mixed with the length, for each span."""
-    up, down = _POWERS.setdefault(step, Powers(step)).get(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
+    """Polynomial hash of values[start:end], mixed with the length, for each span.
+
+    With a table, table[v] stands for each value v."""
+    from_start, to_end = _prefix_sums(values, table, step, [starts, ends])
+    back = pow(step, -1, 2**64)
+    h = to_end - from_start
+    h *= _powers(back, TILE)[starts % TILE]
+    h *= _tile_powers(back, len(values) // TILE + 1)[starts // TILE]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -91,10 +129,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of n positions lie in at least one range."""
-    edges = np.zeros(n + 1, dtype=np.int64)
+    edges = np.zeros(n + 1, dtype=np.int32)
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + lengths, -1)
-    return np.cumsum(edges[:n]) > 0
+    np.cumsum(edges, out=edges)
+    return edges[:n] > 0
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -178,13 +217,25 @@ class Chunk:
 
     def hashes(self, spans: Words, family: int = 0) -> np.ndarray:
         """A hash of the bytes of each span."""
-        values = _BYTE_VALUES[family][self.data]
-        return span_hashes(values, spans.starts, spans.ends, _BYTE_STEP[family])
+        return span_hashes(
+            self.data, spans.starts, spans.ends, _BYTE_STEP[family], _BYTE_VALUES[family]
+        )
+
+    def chars(self, spans: Words) -> np.ndarray:
+        """Code points of each span."""
+        if not len(spans.starts):
+            return np.zeros(0, dtype=np.int64)
+        begins = np.append(~CONTINUATION[self.data], False)
+        bounds = np.stack([spans.starts, spans.ends], axis=1).ravel()
+        counts = np.add.reduceat(begins, bounds, dtype=np.int64)[::2]
+        return np.where(spans.starts < spans.ends, counts, 0)
 
     def sums(self, marked: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
-        total = np.concatenate([[0], np.cumsum(marked)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return np.array(
+            [np.count_nonzero(marked[a:b]) for a, b in zip(self.offsets, self.offsets[1:])],
+            dtype=np.int64,
+        )
 
 
 def window_hashes(
