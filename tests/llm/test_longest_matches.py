@@ -1,0 +1,96 @@
+"""Longest verbatim matches of decontamination against plain comparisons."""
+
+from __future__ import annotations
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from tests.llm.cases import frame
+from tillroll.llm import decontaminate as D
+from tillroll.llm.session import prepare
+
+
+def shared(text: list[str], item: list[str], window: int) -> dict[tuple[int, int], int]:
+    """(first word in the text, in the item) -> words in common, windows or more."""
+    least, found = min(window, len(item)), {}
+    for i in range(len(text)):
+        for j in range(len(item)):
+            n = 0
+            while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n]:
+                n += 1
+            if least and n >= least:
+                found[i, j] = n
+    return found
+
+
+def case(rng: random.Random):
+    letters = "ab" if rng.random() < 0.5 else "abcde"
+    texts = [[rng.choice(letters) for _ in range(rng.randrange(30))] for _ in range(4)]
+    items = [[rng.choice(letters) for _ in range(rng.randrange(14))] for _ in range(4)]
+    whole = rng.choice(texts)
+    items.append(whole[3:20] + ["x"] + whole[:9])
+    items.append(["a"] * 12)
+    texts.append(["a"] * rng.randrange(25) + ["b"] + ["a"] * 5)
+    return texts, items
+
+
+@pytest.mark.parametrize("window", [1, 3, 5])
+def test_longest_match_of_each_text_and_item(window):
+    rng = random.Random(window)
+    for _ in range(150):
+        texts, items = case(rng)
+        names = [str(i) for i in range(len(items))]
+        searched = D.index_items(names, [" ".join(i) for i in items], window)
+        array = pa.array([" ".join(t) for t in texts])
+        got = D._find(array, searched)
+        all_shared = [[shared(t, i, window) for i in items] for t in texts]
+        for text, row in zip(all_shared, got.to_pylist()):
+            lengths = [(-n, i) for found in text for (i, _), n in found.items()]
+            assert row["items"] == [names[k] for k, found in enumerate(text) if found]
+            match = row["match"]
+            assert (match is None) == (not lengths)
+            if match:
+                assert (-match["words"], match["start"]) == min(lengths)
+                where = (match["start"], match["item_start"])
+                assert text[int(match["item"])][where] == match["words"]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), array], ["doc_id", "text"])
+        rows = [r for b in D._find_items(batch, searched) for r in b.to_pylist()]
+        expected = {
+            names[k]: max((n for text in all_shared for n in text[k].values()), default=0)
+            for k in range(len(items))
+        }
+        assert {r["item"]: r["words"] for r in rows} == {k: n for k, n in expected.items() if n}
+        for r in rows:
+            where = (r["start"], r["item_start"])
+            assert all_shared[r["doc_id"]][int(r["item"])][where] == r["words"]
+
+
+def test_matches_over_blocks(spark):
+    part = [f"v{i}" for i in range(60)]
+    text = " ".join(part)
+    items = {
+        "1": "x y " + " ".join(part[10:25]),
+        "2": " ".join(part[20:45]) + " z",
+        "3": "v58 v59",
+        "4": "nowhere to be found",
+        "5": None,
+    }
+    benchmark = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    rows = [(1, text), (2, " ".join(part[5:24])), (3, "v59"), (4, None), (1, text), (None, text)]
+    docs = frame(prepare(spark), rows)
+    for block_bytes in (1 << 22, 20):
+        marked = D.find_contamination(docs, benchmark, block_bytes=block_bytes).collect()
+        got = {(r.doc_id, r.text): r.contamination.match for r in marked}
+        assert tuple(got[1, text]) == tuple(got[None, text]) == (25, 20, "2", 0)
+        assert tuple(got[2, rows[1][1]]) == (14, 5, "1", 2)
+        assert got[3, "v59"] is got[4, None] is None
+        assert len(marked) == len(rows)
+        found = D.longest_matches(docs, benchmark, block_bytes=block_bytes).collect()
+        assert {r.item: (r.words, r.start, r.item_start) for r in found} == {
+            "1": (15, 10, 2),
+            "2": (25, 20, 0),
+            "3": (2, 58, 0),
+        }
+    assert D.longest_matches(docs, benchmark.limit(0)).count() == 0

@@ -37,12 +37,29 @@ run_starts AS (
   SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM words),
 runs AS (
   SELECT doc_id, max(n) AS longest
-  FROM (SELECT doc_id, run, count(*) AS n FROM run_starts GROUP BY doc_id, run) GROUP BY doc_id)
+  FROM (SELECT doc_id, run, count(*) AS n FROM run_starts GROUP BY doc_id, run) GROUP BY doc_id),
+item_places AS (
+  SELECT item_id, n, q, array_to_string(ws[q : q + n - 1], ' ') AS s
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n,
+               unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS q
+        FROM b WHERE len(ws) > 0)),
+aligned AS (
+  SELECT doc_id, item_id, n, p - q AS shift, p,
+         p - row_number() OVER (PARTITION BY doc_id, item_id, n, p - q ORDER BY p) AS stretch
+  FROM doc_windows JOIN item_places USING (n, s)),
+matches AS (
+  SELECT doc_id, n + count(*) - 1 AS words, min(p) - 1 AS start
+  FROM aligned GROUP BY doc_id, item_id, n, shift, stretch),
+longest AS (
+  SELECT doc_id, words, start FROM matches
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, start) = 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
-       coalesce(longest, 0) AS longest_run
+       coalesce(longest, 0) AS longest_run,
+       coalesce(words, 0) AS longest_match, start AS match_start
 FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
+     LEFT JOIN longest USING (doc_id)
 """
 
 MIX = f"""

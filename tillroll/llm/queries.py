@@ -48,6 +48,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         "found.contaminated",
         F.col("found.longest").alias("longest_run"),
+        F.coalesce("found.match.words", F.lit(0).cast("long")).alias("longest_match"),
+        F.col("found.match.start").alias("match_start"),
     )
 
 
