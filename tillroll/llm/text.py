@@ -7,6 +7,7 @@ few array operations, however long the windows are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -156,6 +157,17 @@ def later_repeats(keys: np.ndarray) -> np.ndarray:
     return flags
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers wait for their next task, and others run
+    beside them, with all they once held; allocators keep it unless they are told."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte spans, and the word bounds of each text."""
@@ -263,3 +275,4 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
         j = min(max(j, i + 1), len(texts))
         yield Chunk(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+    give_back()

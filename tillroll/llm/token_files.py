@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import give_back
+
 WORD_BYTES = 64  # longer words are encoded without being remembered
 REMEMBERED = 500_000
 
@@ -84,8 +86,9 @@ class WordIds(dict):
     Only for tokenizers that `refuse_others` lets pass.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, remembered: int = REMEMBERED):
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.remembered = remembered
         self.symbols = _byte_symbols()
 
     def _any(self, text: str) -> bytes:
@@ -119,7 +122,7 @@ class WordIds(dict):
                 ids = self[base] + self[word[len(base) :]]
             else:
                 ids = self._any(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         self[word] = ids
         return ids
@@ -129,11 +132,13 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=4)
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(path))
+    words = WordIds(Tokenizer.from_file(path), remembered)
+    give_back()  # what reading the file took
+    return words
 
 
 @dataclass(frozen=True)
@@ -166,16 +171,19 @@ ROWS = pa.schema(
 ROWS_SQL = "part int, doc_id long, start_in_part long, n_tokens int, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, files: TokenFiles) -> None:
+def write_tokens(
+    docs: DataFrame, tokenizer_path: str, files: TokenFiles, remembered: int = REMEMBERED
+) -> None:
     """Encode every text and write the files and their manifest.
 
-    `tokenizer_path` names a file that the driver and every executor have, such as one of a
+    A worker remembers the ids of `remembered` words, about 150 bytes each. `tokenizer_path` names a file that the driver and every executor have, such as one of a
     package."""
     refuse_others(tokenizer_path)
     end = np.array([files.end_id], dtype="<i4").tobytes()
 
     def encode(batches):
-        words, part, start = _word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        words = _word_ids(tokenizer_path, remembered)
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             packed = [words.encode(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
