@@ -23,6 +23,8 @@ from tillroll.session import scratch_path
 
 # Near duplicates here share 80 % of their five-word shingles.
 NEAR = jaccard_join.Similarity(ngram=5, percent=80)
+# Words a worker remembers: few, as the workers of earlier stages are still there.
+REMEMBERED = 50_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' rows: doc_id, start, n_tokens, ids_crc32."""
     files = token_files.TokenFiles(scratch_path(prepare(spark), "pipeline-tokens"))
-    token_files.write_tokens(docs, tokenizer_path(), files)
+    token_files.write_tokens(docs, tokenizer_path(), files, remembered=REMEMBERED)
     ids = token_files.crc32_of_ids(F.col("ids")).alias("ids_crc32")
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", ids)
 
