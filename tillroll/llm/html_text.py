@@ -140,7 +140,7 @@ def _impurity(labels: np.ndarray) -> float:
     return len(labels) * share * (1 - share)
 
 
-def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> Node | bool:
+def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> Node | bool:
     """A tree that splits, each time, where the Gini impurity falls most."""
     if depth == 0 or labels.all() or not labels.any():
         return bool(labels.mean() >= 0.5)
