@@ -102,7 +102,8 @@ def build(source: DataFrame, keys_of: Callable, bits: int, twice: bool) -> np.nd
 
     merged = source.mapInArrow(fill, ROWS_SQL).repartition("slice").mapInArrow(merge, ROWS_SQL)
     packed = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.select("slice", "once").toLocalIterator():
+    # Compressed slices of one filter, MAX_BITS at most, in one job and not one for each partition.
+    for row in merged.select("slice", "once").collect():
         part = np.frombuffer(zlib.decompress(row.once), dtype=np.uint8)
         packed[row.slice * (SLICE_BITS // 8) :][: len(part)] = part
     return packed

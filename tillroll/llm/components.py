@@ -2,11 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import written
 
+FLUSH_LINKS = 1 << 20
+
+
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These links as stars: each node but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root != root[root]).any():
+            root = root[root]
+    tied = root != np.arange(len(nodes))
+    return nodes[tied], nodes[root[tied]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes, at most one for each node of some FLUSH_LINKS links
+    that a task reads: the rounds move fewer rows, and paths within a task are gone."""
+
+    def contract(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            n += batch.num_rows
+            if n >= FLUSH_LINKS:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    def stars(held):
+        u, v = local_stars(*(np.concatenate(column) for column in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    known = links.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
+    return known.mapInArrow(contract, "u long, v long")
+
 
 def _to_least(pairs: DataFrame, with_self: bool) -> DataFrame:
     """Every neighbour v of u, tied to the least of u and its neighbours."""
@@ -24,15 +66,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Large and small stars take turns until every node but the roots has one link, to a
     root. Each round is written to the shared folder, so a lost executor costs one round.
-    The number of rounds grows with the logarithm of the longest path; links that are
-    stars already take none."""
+    Before the first, each task ties the links it reads to stars. The number of rounds grows
+    with the logarithm of the longest path; links that are stars already take none."""
     down = F.col("u") > F.col("v")
-    stars = written(
-        links.where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct(),
-        "stars",
-    )
+    stars = written(_contracted(links).distinct(), "stars")
     while not _settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both, with_self=False).where(down).distinct()
