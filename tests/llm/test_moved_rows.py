@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.llm import bloom
+from tests.llm.cases import components
+from tillroll.llm import bloom, jaccard_join
 from tillroll.llm.components import local_stars
 
 
@@ -56,3 +57,33 @@ def test_stars_of_some_links(seed):
     chain = np.arange(1000)
     nodes, roots = local_stars(chain[1:], chain[:-1])
     assert list(nodes) == list(chain[1:]) and not roots.any()
+
+
+def _link(spark, monkeypatch, texts):
+    """Plans of the tables that the join writes, by name, and its components."""
+    plans: dict[str, str] = {}
+    plain = jaccard_join.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    return plans, found
+
+
+def test_sets_are_not_moved_for_what_is_known_before(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 120, 6)] + ["alone"]
+    plans, found = _link(spark, monkeypatch, texts)
+    assert found == components(list(enumerate(texts)), 4, 85)
+    # groups are known before the sets are made: no join above them
+    sets = plans["token-sets"]
+    assert "MapInArrow" in sets and "Join" not in sets[: sets.index("MapInArrow")]
+    # no key has more than one task's bytes, so no set is moved to blocks
+    assert "blocks" not in plans
+    monkeypatch.setattr(jaccard_join, "KEY_BYTES", 64)
+    plans, found = _link(spark, monkeypatch, texts)
+    assert found == components(list(enumerate(texts)), 4, 85)

@@ -432,7 +432,9 @@ def _compared_by_key(rows: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, shared: DataFrame, how: Similarity) -> DataFrame:
-    """(rep, gid, set): the whole token sets of the classes that share a key."""
+    """(rep, gid, cut, pivot, set): the whole token sets of the classes that share a key. What is
+    known of their groups is joined before the sets are made, so that these move less."""
+    kept = ["rep", "gid", "cut", "pivot"]
 
     def tokens(batches):
         for batch in batches:
@@ -442,17 +444,22 @@ def _candidate_sets(docs: DataFrame, shared: DataFrame, how: Similarity) -> Data
                 for digest, name in zip(_digests(found, bounds), ("d1", "d2")):
                     want = batch.column(name).to_numpy()[chunk.first : chunk.first + len(chunk)]
                     same &= digest == want
-                rows = batch.slice(chunk.first, len(chunk)).select(["rep", "gid"])
+                rows = batch.slice(chunk.first, len(chunk)).select(kept)
                 whole = pa.RecordBatch.from_arrays(
-                    [*rows.columns, _packed_rows(found, bounds)], names=["rep", "gid", "set"]
+                    [*rows.columns, _packed_rows(found, bounds)], names=[*kept, "set"]
                 )
                 yield whole.filter(pa.array(same))
 
-    wanted = shared.select("rep", "gid", "d1", "d2")
+    sizes = shared.groupBy("gid").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"))
+    cut = F.ceil(F.col("members") / MAX_GROUP).alias("cut")
+    wanted = shared.select("rep", "gid", "d1", "d2").join(sizes, "gid")
+    wanted = wanted.select("rep", "gid", cut, "pivot", "d1", "d2")
     candidate = bloom.among(shared.select("rep"))  # spares the other texts the shuffle
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = texts.where(candidate(F.col("rep")))
-    return texts.join(wanted, "rep").mapInArrow(tokens, "rep long, gid long, set binary")
+    return texts.join(wanted, "rep").mapInArrow(
+        tokens, "rep long, gid long, cut long, pivot long, set binary"
+    )
 
 
 def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
@@ -479,10 +486,7 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
     size = reps.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     parts = 1 + size // (4 << 20)
     shared = written(_shared_keys(reps, Deal(parts, parts)), "shared-keys")
-    sizes = shared.groupBy("gid").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"))
-    cut = F.ceil(F.col("members") / MAX_GROUP)
-    placed = _candidate_sets(docs, shared, how).join(sizes, "gid")
-    sets = written(placed.select("rep", "gid", "set", cut.alias("cut"), "pivot"), "token-sets")
+    sets = written(_candidate_sets(docs, shared, how), "token-sets")
     columns = ["gid", "part", "rep", "component", "query", "set"]
     part = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
     member = sets.withColumns(
@@ -499,7 +503,9 @@ def link(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, Da
     links = written(_compared(inside, how), "links-inside")
     named = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     by_bin, blocks = _meetings(shared, sets, named, columns)
-    across = _compared_by_key(by_bin, how).unionByName(_compared(written(blocks, "blocks"), how))
+    across = _compared_by_key(by_bin, how)
+    if blocks is not None:
+        across = across.unionByName(_compared(written(blocks, "blocks"), how))
     return rows, written(links.unionByName(across).unionByName(same_id), "links")
 
 
@@ -509,8 +515,9 @@ def _every_part():
 
 def _meetings(
     shared: DataFrame, sets: DataFrame, named: DataFrame, columns: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Sets to compare where different components still meet at a key, by bin and in blocks.
+) -> tuple[DataFrame, DataFrame | None]:
+    """Sets to compare where different components still meet at a key, by bin and in blocks,
+    if there are any.
 
     Sets connected by such keys are a family. One of up to MAX_FAMILY sets and KEY_BYTES is one
     group. In a larger one each key's sets are a group, and its keys are dealt to bins, to each
@@ -566,7 +573,10 @@ def _meetings(
     )
     held = sets.select("rep", "set")
     by_bin = dealt.unionByName(whole).join(held, "rep").select(*BIN_COLUMNS)
-    return by_bin, _blocks(keyed.where(F.col("bytes") > KEY_BYTES)).join(held, "rep").select(*columns)
+    huge = keyed.where(F.col("bytes") > KEY_BYTES)
+    if huge.isEmpty():
+        return by_bin, None  # all sets would be shuffled to meet no row
+    return by_bin, _blocks(huge).join(held, "rep").select(*columns)
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
