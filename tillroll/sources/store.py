@@ -42,6 +42,7 @@ FACTS = ("orders", "order_items", "order_payments", "order_reviews")
 FOLDER_BYTES = 256 << 20  # of values of orders, before encoding
 MIN_FOLDERS = 12
 WRITERS = 4  # tables written at once
+COMPRESSION = "zstd"  # of stored files
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -92,9 +93,9 @@ def _write(df: DataFrame, path: str, files: int | None) -> None:
     nothing. Other tables keep the partitions they are read in, or get `files` even ones."""
     if MONTH_COLUMN in df.columns:
         by_month = df.hint("rebalance", MONTH_COLUMN)
-        by_month.write.partitionBy(MONTH_COLUMN).parquet(path)
+        by_month.write.partitionBy(MONTH_COLUMN).parquet(path, compression=COMPRESSION)
     else:
-        (df.repartition(files) if files else df).write.parquet(path)
+        (df.repartition(files) if files else df).write.parquet(path, compression=COMPRESSION)
 
 
 def _by_order_month(spark: SparkSession, df: DataFrame, orders_path: str) -> DataFrame:
@@ -121,7 +122,7 @@ def append_rows(spark: SparkSession, root: str, table: str, rows: DataFrame) ->
         writer = rows.hint("rebalance", MONTH_COLUMN).write.partitionBy(MONTH_COLUMN)
     else:
         writer = rows.write
-    writer.mode("append").parquet(f"{root}/{folders[table]}")
+    writer.mode("append").parquet(f"{root}/{folders[table]}", compression=COMPRESSION)
 
 
 def store_tables(

@@ -23,6 +23,9 @@ BIAS_CUTOFF = date(1998, 3, 1)
 MIN_REVIEWED = 45
 
 
+# Compressed files cannot be split, so none may hold more rows than one task reads well.
+ROWS_PER_FILE = 1_000_000
+
 _SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
 
@@ -191,7 +194,8 @@ def write_raw_csv(
     spark: SparkSession, root: str, target: str, tables: Collection[str] = tuple(TABLES)
 ) -> None:
     """The tables as raw CSV files, points and products in their raw form, and reviews
-    with a word for a missing title."""
+    with a word for a missing title. Text takes several times the bytes of its source, so the
+    files are compressed."""
     raw = {name: df for name, df in bind(spark, root).items() if name in tables}
     if "products" in raw:
         raw["products"] = raw_products(spark, root)
@@ -201,4 +205,7 @@ def write_raw_csv(
         raw["order_reviews"] = raw["order_reviews"].fillna("NULL", "review_comment_title")
     for name, df in raw.items():
         text = df.select(*[F.col(c).cast("string") for c in df.columns])
-        text.write.csv(f"{target}/{RAW_FILES[name]}", header=True, quote='"', escape='"')
+        writer = text.write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.csv(
+            f"{target}/{RAW_FILES[name]}", header=True, quote='"', escape='"', compression="gzip"
+        )
